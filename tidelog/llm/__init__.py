@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing",)
+MODULES = ("token_counts", "mixing", "bpe")
 
 
 def _gather(name: str) -> dict:

@@ -86,3 +86,16 @@ def n_words(text: Column) -> Column:
 def crc_rest(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of`` (a null id counts as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))
+
+
+def by_size(texts: list, most: int):
+    """Consecutive lists of texts with about ``most`` characters or bytes each."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
