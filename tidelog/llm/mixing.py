@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, n_words
+from .common import documents, durable, n_words
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED
         "doc_id", "source", n_words(F.col("text")).alias("size"), src.alias("src"), key.alias("mix_key"),
         *[F.col(c).alias(f"kept_{c}") for c in keep],
     ).withColumn("span", F.substring("mix_key", 1, 3))
-    rows = rows.repartition("src", "span")  # one exchange for the sums and for the windows
+    rows = durable(rows)  # texts are read once; the sums and the windows read this narrow table
     spans = rows.groupBy("src", "span").agg(F.sum("size").alias("span_size"))
     in_order = Window.partitionBy("src").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("offset", F.coalesce(F.sum("span_size").over(in_order), F.lit(0)))
