@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_counts", "mixing", "bpe")
+MODULES = ("token_counts", "simhash", "mixing", "bpe")
 
 
 def _gather(name: str) -> dict:
