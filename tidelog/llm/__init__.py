@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_counts", "simhash", "mixing", "bpe", "pii")
+MODULES = ("token_counts", "simhash", "language_id", "mixing", "bpe", "pii")
 
 
 def _gather(name: str) -> dict:
