@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_counts", "simhash", "language_id", "mixing", "bpe", "merkle", "pii")
+MODULES = ("token_counts", "simhash", "language_id", "mixing", "bpe", "merkle", "suffix_repeats", "pii")
 
 
 def _gather(name: str) -> dict:
