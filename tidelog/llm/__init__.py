@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("token_counts", "simhash", "language_id", "mixing", "bpe", "merkle", "suffix_repeats", "language_model", "pii")
+MODULES = ("token_counts", "simhash", "language_id", "image_copies", "mixing", "bpe", "merkle", "suffix_repeats", "language_model", "pii")
 
 
 def _gather(name: str) -> dict:
