@@ -55,17 +55,27 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tidelog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
 
 
-def forget(upto: int = 0) -> None:
-    """Delete the tables that ``durable`` wrote, when their readers are done."""
-    while len(_written) > upto:
-        spark, path = _written.pop()
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``durable`` wrote, once nothing will read it again."""
+    _written.remove((df.sparkSession, df.durable_path))
+    _delete(df.sparkSession, df.durable_path)
+
+
+def forget() -> None:
+    """Delete all tables that ``durable`` wrote, when their readers are done."""
+    while _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_written.pop())
         except Exception:  # the session may be gone at exit
             return
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, small_batches
+from .common import documents, drop, durable, small_batches
 
 LENGTH = 400
 GRAM = 96
@@ -294,26 +294,32 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     rows = _row_keys(docs)
-    found = durable(rows.select("r1", "r2", "text").mapInArrow(_find_anchors, "h long, c long, r1 long, r2 int, first int, starts int"))
-    met = found.groupBy("h").count().where("count > 1").select("h")
-    found = durable(found.join(met, "h", "left_semi"))
+    every = durable(rows.select("r1", "r2", "text").mapInArrow(_find_anchors, "h long, c long, r1 long, r2 int, first int, starts int"))
+    met = every.groupBy("h").count().where("count > 1").select("h")
+    found = durable(every.join(met, "h", "left_semi"))
+    drop(every)
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("r1", "r2", "first", "starts")])
     by_anchor = kinds.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("rarest"))
     kinds = durable(kinds.join(by_anchor, "h"))
     end = (F.col("first") + F.col("starts") + LENGTH - 1).alias("b")
     copied = found.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("r1", "r2", F.col("first").alias("a"), end)
 
-    wanted = kinds.where("contexts > 1 AND rarest = 1").groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "n", "first", "starts", (F.col("contexts") > MOST).alias("large"))).alias("wanted"))
-    dealt = rows.repartition("r1", "r2")
+    dealt = rows.repartition("r1", "r2")  # one exchange of the texts, read by both cuts and by the result
     kind_of = "h long, n long, r1 long, r2 int, first int, context binary, strings array<struct<x:long,y:long>>"
-    cut = durable(dealt.join(wanted, ["r1", "r2"]).select("r1", "r2", "doc_id", "text", "wanted").mapInArrow(_cut, kind_of))
-    small = cut.where("context IS NOT NULL").select("h", "r1", "r2", "first", "context").repartition("h").sortWithinPartitions("h")
-    scanned = small.mapInArrow(_scan, "r1 long, r2 int, a int, b int")
-    each = cut.where("strings IS NOT NULL").select("n", "r1", "r2", "first", F.posexplode("strings").alias("at", "s")).select("n", "r1", "r2", (F.col("first") + F.col("at")).alias("a"), "s.x", "s.y")
-    twice = each.groupBy("x", "y").agg(F.sum("n").alias("all")).where("all > 1").select("x", "y")
-    counted = each.join(twice, ["x", "y"], "left_semi").groupBy("r1", "r2").agg(F.collect_list("a").alias("as"))
-    counted = counted.select("r1", "r2", F.explode("as").alias("a")).select("r1", "r2", "a", (F.col("a") + LENGTH).alias("b"))
-    return dealt, copied.union(scanned).union(counted)
+
+    def cut(large: bool) -> DataFrame:
+        wanted = kinds.where("rarest = 1").where(f"contexts > {MOST}" if large else f"contexts BETWEEN 2 AND {MOST}")
+        wanted = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "n", "first", "starts", F.lit(large).alias("large"))).alias("wanted"))
+        return dealt.join(wanted, ["r1", "r2"]).select("r1", "r2", "doc_id", "text", "wanted").mapInArrow(_cut, kind_of)
+
+    small = cut(large=False).select("h", "r1", "r2", "first", "context").repartition("h").sortWithinPartitions("h")
+    spans = copied.union(small.mapInArrow(_scan, "r1 long, r2 int, a int, b int"))
+    if kinds.where(f"rarest = 1 AND contexts > {MOST}").limit(1).count():
+        each = cut(large=True).select("n", "r1", "r2", "first", F.posexplode("strings").alias("at", "s")).select("n", "r1", "r2", (F.col("first") + F.col("at")).alias("a"), "s.x", "s.y")
+        twice = each.groupBy("x", "y").agg(F.sum("n").alias("all")).where("all > 1").select("x", "y")
+        counted = each.join(twice, ["x", "y"], "left_semi").select("r1", "r2", "a", (F.col("a") + LENGTH).alias("b"))
+        spans = spans.union(counted)
+    return dealt, spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
