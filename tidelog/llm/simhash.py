@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, durable, small_batches
 from .components import components
@@ -64,15 +65,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, text_hash, fp): fp as a signed long, text_hash to find the row again."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t or b"", width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t or b"", width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_masks(blocks: int = BLOCKS, apart: int = BITS_APART) -> list[int]:
@@ -191,7 +193,7 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, apart: int = BITS_APART, n_piv
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id: smallest doc_id reachable over links."""
+    """(doc_id, text_hash, fp, component_id) for each row; component_id: smallest doc_id reachable over links."""
     marked = durable(fingerprints(docs, width))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     small_batches(docs.sparkSession, 20_000)
@@ -199,7 +201,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, apart: int = BITS_APART) ->
     small_batches(docs.sparkSession)
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFrame:
+    """Rows of ``docs`` with the smallest doc_id of each group of near duplicates, one row each.
+
+    Where rows share that id, the one with the smallest text hash stays.
+    """
+    found = near_duplicates(docs, width, apart).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = found.groupBy(F.col("component_id")).agg(F.min("text_hash").alias("keep_hash")).select(F.col("component_id").alias("keep_id"), "keep_hash")
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_hash") == F.col("keep_hash")), "left_semi")
+    again = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
+    return rows.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
