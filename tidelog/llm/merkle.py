@@ -24,6 +24,7 @@ SECTION = r"(?<=\n)(?!\z)"
 PARAGRAPH = r"(?<=[.!?,;:|]\x20)(?!\z)"
 #: A paragraph's identity for likeness: 48 bits of hash, 16 of its length.
 LENGTH_BITS = 65535
+LEAST_LONG = "-9223372036854775808"
 
 
 def tree(text: Column) -> Column:
@@ -80,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def order_key(doc_id: Column) -> Column:
     """Sorts as doc_id does, a null below all."""
-    return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(LEAST_LONG).cast("decimal(20,0)") - 1).cast("decimal(20,0)")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -104,15 +105,17 @@ def next_ids(docs: DataFrame) -> DataFrame:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, that of its text with the last third replaced, and both likenesses."""
     order = durable(next_ids(docs))
-    rows = docs.select("doc_id", order_key(F.col("doc_id")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).repartition("key")
+    # one exchange of the texts serves givers and takers: both read the same two columns
+    rows = docs.select(order_key(F.col("doc_id")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).repartition("key")
     one = Window.partitionBy("key").orderBy(F.xxhash64("text"))
     given = rows.withColumn("row", F.row_number().over(one)).where("row = 1").join(order.select(F.col("next_key").alias("key"), F.col("key").alias("taker"), "need"), "key")
     given = given.select(F.col("taker").alias("key"), F.substring("text", F.lit(1), F.col("need")).alias("head"), marks(tree(F.col("text"))).alias("next_marks"), F.sha2("text", 256).alias("next_sha"))
     both = rows.join(given, "key").withColumn("n_chars", F.length("text"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - third), F.substring("head", F.lit(1), third)))
+    doc_id = F.when(F.col("key") >= F.lit(LEAST_LONG).cast("decimal(20,0)"), F.col("key").cast("long"))
     both = both.select(
-        "doc_id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"), "next_sha", "next_marks",
+        doc_id.alias("doc_id"), "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"), "next_sha", "next_marks",
         tree(F.col("text")).alias("nodes"), tree(F.col("edited")).alias("edited_nodes"),
     )
     both = both.select("*", root(F.col("nodes")).alias("fingerprint"), root(F.col("edited_nodes")).alias("edited_fingerprint"), marks(F.col("nodes")).alias("own_marks"), marks(F.col("edited_nodes")).alias("edited_marks"))
