@@ -29,6 +29,7 @@ from .common import crc_rest, documents, small_batches
 
 PER_LANG = 300
 LANDMARKS = 24
+SPARE = 5
 LEARN_BYTES = 20_000
 RIDGE = 1e-3
 SHARPNESS = 8.0
@@ -116,8 +117,13 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from labelled rows whose crc32(doc_id) mod 4 is not 2; None without any."""
     rows = docs.where((crc_rest(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= LEARN_BYTES))
     key = F.xxhash64(F.col("doc_id").cast("string"))
+    # a language's count tells how low a key must be for about SPARE times the rows wanted: no task sees more
+    least = F.lit(None).cast("long")
+    for r in rows.groupBy("lang").count().collect():  # a row for each language
+        share = min(1.0, SPARE * per_lang / r["count"])
+        least = F.when(F.col("lang") == r["lang"], F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).otherwise(least)
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    chosen = rows.select("lang", "doc_id", F.row_number().over(first).alias("n")).where(F.col("n") <= per_lang).select("doc_id", "lang")
+    chosen = rows.where(key <= least).select("lang", "doc_id", F.row_number().over(first).alias("n")).where(F.col("n") <= per_lang).select("doc_id", "lang")
     # at most per_lang rows of each language
     got = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", key.alias("key"), F.col("text").cast("binary")).toArrow().to_pylist()
     got.sort(key=lambda r: (r["key"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
