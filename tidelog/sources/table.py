@@ -94,6 +94,21 @@ class KVTable:
         if folder.exists() and not folder.names():
             folder.delete()
 
+    @staticmethod
+    def repair(spark: SparkSession, path: str, comparator: str = COMPARATOR) -> "KVTable":
+        """A table from the runs that are there, where the manifest is lost: all at level 0, deletes included."""
+        table = KVTable(spark, path, {"comparator": comparator, "compression": "zstd", "bloom": True, "paranoid": False})
+        table.folder.create("LOCK", table.owner)
+        table.state = {"version": max([int(n.split("-")[1]) for n in table.folder.names() if n.startswith("MANIFEST-") and n[9:].isdigit()], default=0), "last_seq": 0, "next_file": 1, "comparator": comparator, "files": [], "snapshots": {}}
+        for name in sorted(table.folder.names("runs")):
+            n = int(name.split(".")[0])
+            if run := table._describe(n, name, 0):
+                table.state["files"].append(run)
+                table.state["last_seq"] = max(table.state["last_seq"], run["max_seq"])
+            table.state["next_file"] = max(table.state["next_file"], n + 1)
+        table._commit()
+        return table
+
     # --- commits
 
     def _commit(self) -> None:
@@ -125,12 +140,18 @@ class KVTable:
             writer = writer.option("parquet.bloom.filter.enabled#k", "true")
         began = time.time()
         writer.parquet(path)
-        back = self.spark.read.schema(LOG).parquet(path)
-        s = back.agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.max("seq").alias("s"), F.sum(stats.encoded_size(F.col("k"), F.col("v"))).alias("size")).first()
-        if not s["n"]:
+        run = self._describe(n, name, level)
+        if run is None:
             self.folder.delete(f"runs/{name}")
+        else:
+            self.history.append({"level": level, "seconds": time.time() - began, "bytes": run["file_size"]})
+        return run
+
+    def _describe(self, n: int, name: str, level: int) -> dict | None:
+        """A run's entry for the manifest, from its rows; None if it has none."""
+        s = self.spark.read.schema(LOG).parquet(f"{self.folder.path}/runs/{name}").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.max("seq").alias("s"), F.sum(stats.encoded_size(F.col("k"), F.col("v"))).alias("size")).first()
+        if not s["n"]:
             return None
-        self.history.append({"level": level, "seconds": time.time() - began, "bytes": s["size"]})
         return {"level": level, "file_no": n, "name": name, "entries": s["n"], "file_size": s["size"], "stored": self.folder.size(f"runs/{name}"), "smallest": bytes(s["a"]).hex(), "largest": bytes(s["b"]).hex(), "max_seq": s["s"]}
 
     def files(self) -> DataFrame:
