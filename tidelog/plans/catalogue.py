@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import codec
-from ..operators import batches, bloom, compact, ordered, reads, stats
+from ..operators import batches, bloom, compact, manifest, ordered, reads, stats
 from ..operators.resolve import live, live_fixed_width, merge_runs, resolve
 from . import logs
 
@@ -476,15 +475,9 @@ def _deltas(spark, d):
 _DELTAS = ", dx AS (SELECT (seq - 1) // 64 AS d, min(k) AS smallest, max(k) AS largest FROM l1 GROUP BY d)"
 
 
-def replayed(deltas: DataFrame) -> DataFrame:
-    """Files left after all deltas; in one delta removals come before additions."""
-    newest = Window.partitionBy("level", "file_no").orderBy(F.desc("delta_no"), F.desc("is_add"))
-    return deltas.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1 AND is_add = 1").drop("_rank", "is_add")
-
-
 @query(f"{_DELTAS} SELECT d AS file_no, d AS delta_no, 0::BIGINT AS level, smallest, largest FROM dx WHERE d % 3 <> 0")
 def manifest_replay(spark, d):
-    return replayed(_deltas(spark, d)).select("file_no", "delta_no", "level", "smallest", "largest")
+    return manifest.replayed(_deltas(spark, d)).select("file_no", "delta_no", "level", "smallest", "largest")
 
 
 def _listing(spark, d):
@@ -493,12 +486,12 @@ def _listing(spark, d):
 
 @query(f"{_DELTAS} SELECT d AS file_no FROM dx WHERE d % 3 <> 0 AND d % 7 = 1")
 def missing_files(spark, d):
-    return replayed(_deltas(spark, d)).select("file_no").join(_listing(spark, d), "file_no", "left_anti")
+    return manifest.missing(manifest.replayed(_deltas(spark, d)), _listing(spark, d))
 
 
 @query(f"{_DELTAS} SELECT d AS file_no FROM dx WHERE d % 3 = 0 AND d % 7 <> 1")
 def obsolete_files(spark, d):
-    return _listing(spark, d).join(replayed(_deltas(spark, d)).select("file_no"), "file_no", "left_anti")
+    return manifest.obsolete(manifest.replayed(_deltas(spark, d)), _listing(spark, d))
 
 
 @query("SELECT max(seq)::BIGINT AS last_seq, ((max(seq) - 1) // 64 + 1)::BIGINT AS next_file, 'bytewise' AS comparator FROM l1")
@@ -506,8 +499,14 @@ def recover_counters(spark, d):
     """Each counter's newest set value over the deltas; null leaves it as it was."""
     deltas = logs.events(spark, d).select(F.floor((F.col("seq") - 1) / 64).alias("delta_no"), "seq").groupBy("delta_no").agg(F.max("seq").alias("last_seq"))
     deltas = deltas.withColumn("next_file", F.col("delta_no") + 1).withColumn("comparator", F.when(F.col("delta_no") == 0, "bytewise"))
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("delta_no"))).alias(c)
-    return deltas.agg(newest("last_seq"), newest("next_file"), newest("comparator"))
+    return manifest.counters(deltas, "last_seq", "next_file", "comparator")
+
+
+@query(f"{_DELTAS} SELECT d AS file_no FROM dx WHERE d % 3 <> 0")
+def full_snapshot_record(spark, d):
+    """Replay of the record that holds the whole state: the same files."""
+    record = manifest.full_record(manifest.replayed(_deltas(spark, d)).drop("delta_no"), 1_000_000)
+    return manifest.replayed(record).select("file_no")
 
 
 # --- functions
