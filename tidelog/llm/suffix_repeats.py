@@ -5,10 +5,10 @@ stack. Each common-prefix interval whose occurrences differ in the byte to their
 maximal repeat; it is returned with all its occurrences.
 
 For a corpus, every string of ``LENGTH`` bytes is assigned to the anchor in it: the
-``GRAM`` bytes with the least hash, leftmost if there are several. Equal strings have equal
-anchors at equal places, so only strings of equal anchors need be compared. An anchor's
-strings form one run of consecutive starts, kept as a context: the bytes from the first
-start to the last start's end. Each string is in one context only.
+``GRAM`` bytes with the least hash. Equal strings have equal anchors, so only strings of
+equal anchors need be compared. Strings of one anchor at consecutive starts are kept as a
+context: the bytes from the first start to the last start's end. Each string is in one
+context only.
 
 1. Anchors are found in each text: hash, context hash, place. No text moves.
 2. Anchors met once are dropped. Equal contexts collapse to one with a count, so groups of
@@ -193,11 +193,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first start, number of starts) of each context of a text."""
+    """(anchor hash, first start, number of starts) of each context of a text.
+
+    Starts in a row whose strings have the same least hash go together, but for ``length``
+    at most: a text that repeats itself has no more contexts than another.
+    """
     hashes, firsts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     whole = np.frombuffer(text, np.uint8)
-    bits = np.uint64(18)
-    low = (np.uint64(1) << bits) - np.uint64(1)
     for k in range(0, len(text) - length + 1, PART):
         t = whole[k : k + PART + length - 1]
         n = len(t)
@@ -207,11 +209,16 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-        least = sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & low
+        least = sliding_least(h, length - gram + 1)
         new = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        hashes.append(h[least[new].astype(np.int64)])
-        firsts.append(new + k)
-        counts.append(np.diff([*new, len(least)]))
+        size = np.diff([*new, len(least)])
+        pieces = -(-size // length)
+        own = np.repeat(np.arange(len(new)), pieces)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = new[own] + nth * length
+        hashes.append(least[first])
+        firsts.append(first + k)
+        counts.append(np.minimum(length, new[own] + size[own] - first))
     return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(counts)
 
 
