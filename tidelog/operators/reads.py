@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..schema import DELETE, PUT
 from . import ordered
-from .resolve import at_snapshot, live, resolve
+from .resolve import at_snapshot, live, live_keys, resolve
 
 FOUND, DELETED, ABSENT = "FOUND", "DELETED", "ABSENT"
 
@@ -33,8 +33,9 @@ def hits(log: DataFrame, requests: DataFrame, snapshot: int | None = None) -> Da
 
 
 def misses(log: DataFrame, requests: DataFrame, snapshot: int | None = None) -> DataFrame:
-    """Requested keys without a live entry."""
-    return requests.join(live(log, snapshot).select("k"), "k", "left_anti")
+    """Requested keys without a live entry. The log shrinks to requested keys first; both joins read one exchange of them."""
+    asked = log.join(requests.select("k"), "k", "left_semi")
+    return requests.join(live_keys(asked, snapshot), "k", "left_anti")
 
 
 def scan(log: DataFrame, low=None, high=None, prefix: str | None = None, after=None, snapshot: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.codec import pack_tag, unpack_op
 from ..schema import PUT
 
 
@@ -37,6 +38,12 @@ def live_fixed_width(log: DataFrame, snapshot: int | None = None, keys: Sequence
     return newest.where(F.col("op") == PUT)
 
 
+def live_keys(log: DataFrame, snapshot: int | None = None) -> DataFrame:
+    """Keys with a live entry. The largest tag of a key names its newest entry: a hash aggregate, no sort, no values."""
+    newest = at_snapshot(log, snapshot).groupBy("k").agg(F.max(pack_tag(F.col("seq"), F.col("op"))).alias("tag"))
+    return newest.where(unpack_op(F.col("tag")) == PUT).select("k")
+
+
 def merge_runs(runs: Sequence[DataFrame]) -> DataFrame:
     """Bag union of runs; duplicates stay."""
     first, *rest = runs
