@@ -59,6 +59,12 @@ def test_reads_snapshots_and_reopen(spark, path):
             t.get(b"a", 2)
         assert t.property("tidelog.num-files-at-level9") is None and t.property("nope") is None
         assert t.approximate_sizes([(b"", b"b"), (b"b", b"c"), (b"x", b"y")])[2] == 0
+        assert t.property("tidelog.stats").startswith("level files") and len(t.property("tidelog.sstables").splitlines()) == len(t.state["files"])
+        assert sum(int(t.property(f"tidelog.num-files-at-level{i}")) for i in range(7)) == len(t.state["files"])
+        assert int(t.property("tidelog.approximate-memory-usage")) >= 0
+        kept = t.cache()
+        assert kept.count() == 3
+        kept.unpersist()
         t.view("kv")
         assert spark.sql("SELECT count(*) FROM kv").first()[0] == 3
 

@@ -385,7 +385,7 @@ def level0_closure(spark, d):
 _CUTS = ", z AS (SELECT k, seq, (row_number() OVER (ORDER BY k, seq DESC) - 1) // 97 AS file_no, (row_number() OVER (ORDER BY k, seq DESC) - 1) % 97 AS p FROM l1), cuts AS (SELECT file_no, arg_min(k, p) AS smallest, arg_min(seq, p) AS smallest_seq, arg_max(k, p) AS largest, arg_max(seq, p) AS largest_seq FROM z GROUP BY file_no)"
 
 
-@query(f"{_CUTS}, RECURSIVE_PLACEHOLDER AS (SELECT 1) SELECT a.file_no, b.file_no AS next_no FROM cuts a JOIN cuts b ON a.largest = b.smallest AND b.smallest_seq < a.largest_seq")
+@query(f"{_CUTS} SELECT a.file_no, b.file_no AS next_no FROM cuts a JOIN cuts b ON a.largest = b.smallest AND b.smallest_seq < a.largest_seq")
 def boundary_inputs(spark, d):
     """For each file, those that go on with its last key (one step of the expansion)."""
     rows = ordered.numbered(logs.events(spark, d).select("k", "seq", (-F.col("seq")).alias("down")), ["k", "down"], "n")
@@ -394,9 +394,6 @@ def boundary_inputs(spark, d):
     return a.join(b, (F.col("a.largest") == F.col("b.smallest")) & (F.col("b.smallest_seq") < F.col("a.largest_seq"))).select(F.col("a.file_no").alias("file_no"), F.col("b.file_no").alias("next_no"))
 
 
-ORACLES["boundary_inputs"] = ORACLES["boundary_inputs"].replace(", RECURSIVE_PLACEHOLDER AS (SELECT 1)", "")
-
-
 @query("SELECT file_no, file_size, ((sum(file_size) OVER (ORDER BY smallest, file_no) - file_size)::BIGINT // 5000)::BIGINT AS output FROM files WHERE level = 2")
 def grandparent_split(spark, d):
     return compact.grandparent_groups(_files(spark, d).where("level = 2"), 5000).select("file_no", "file_size", "output")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stats import encoded_size
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,5 +79,3 @@ f1 AS (SELECT *, (CASE WHEN level = 0 THEN (seq * 16) // (n + 1) + 1000 ELSE lev
 files AS (SELECT level, file_no, min(k) AS smallest, max(k) AS largest, count(*)::BIGINT AS entries, sum(strlen(k) + 8 + coalesce(strlen(v), 0))::BIGINT AS file_size,
     min(seq) AS min_seq, max(seq) AS max_seq FROM f1 GROUP BY level, file_no)
 """
-
-__all__ = ["ORDER", "SQL", "encoded_size", "events", "filed", "last_sequence", "orders", "pages", "table", "turns"]

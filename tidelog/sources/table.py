@@ -129,8 +129,8 @@ class KVTable:
             self.error = e
             raise
 
-    def _write_run(self, rows: DataFrame, level: int) -> dict | None:
-        """A sorted run of rows (k, seq, op, v); None if there are none."""
+    def _write_run(self, rows: DataFrame, level: int, read: int = 0) -> dict | None:
+        """A sorted run of rows (k, seq, op, v), made of ``read`` bytes of other runs; None if there are none."""
         n = self.state["next_file"]
         self.state["next_file"] += 1
         name = f"{n:06d}.run"
@@ -144,7 +144,7 @@ class KVTable:
         if run is None:
             self.folder.delete(f"runs/{name}")
         else:
-            self.history.append({"level": level, "seconds": time.time() - began, "bytes": run["file_size"]})
+            self.history.append({"level": level, "seconds": time.time() - began, "read": read, "written": run["file_size"]})
         return run
 
     def _describe(self, n: int, name: str, level: int) -> dict | None:
@@ -275,7 +275,7 @@ class KVTable:
             return
         ranges = self.spark.createDataFrame([(bytearray.fromhex(f["smallest"]), bytearray.fromhex(f["largest"])) for f in deeper], "smallest binary, largest binary") if deeper else None
         oldest = self.oldest()
-        run = self._write_run(compaction.compact(self._scan(inputs), oldest, ranges), level + 1)
+        run = self._write_run(compaction.compact(self._scan(inputs), oldest, ranges), level + 1, sum(f["file_size"] for f in inputs))
         self.state["files"] = [f for f in files if f["file_no"] not in taken] + ([run] if run else [])
         self.state["compacted_to"] = max(self.state.get("compacted_to", 0), oldest)
         self._commit()
@@ -302,8 +302,26 @@ class KVTable:
     # --- introspection
 
     def property(self, name: str):
+        """Value of a property as text, or None if there is none of that name."""
+        if name == stats.PREFIX + "stats":
+            return self._stats()
         return stats.property_of(self.spark, self.files(), name)
 
+    def _stats(self) -> str:
+        """A line for each level in use: files, MB, and the seconds, MB read and MB written of its jobs."""
+        out = ["level files mb seconds read_mb written_mb"]
+        for level in range(LEVELS):
+            files = [f["file_size"] for f in self.state["files"] if f["level"] == level]
+            jobs = [h for h in self.history if h["level"] == level]
+            if files or jobs:
+                total = {k: sum(h[k] for h in jobs) for k in ("seconds", "read", "written")}
+                out.append(f"{level} {len(files)} {sum(files) / 1e6:.1f} {total['seconds']:.1f} {total['read'] / 1e6:.1f} {total['written'] / 1e6:.1f}")
+        return "\n".join(out)
+
+    def cache(self) -> DataFrame:
+        """Keep the newest live entries in memory and on disk; ``unpersist`` the result to let go."""
+        return live(self.log(), self._at(None)).persist()
+
     def approximate_sizes(self, ranges: list[tuple[bytes, bytes]]) -> list[int]:
         """Bytes of entries in each half-open range, in the runs it touches."""
         low, high = min(a for a, _ in ranges), max(b for _, b in ranges)
