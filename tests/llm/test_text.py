@@ -104,7 +104,7 @@ def test_merkle_awkward(spark):
     rows = merkle.compare_with_next(docs(spark)).collect()
     assert len(rows) == len(TEXTS) and merkle.compare_with_next(empty(spark)).count() == 0
     by_text = {}
-    for r, in zip(rows):
+    for r in rows:
         by_text.setdefault(r["fingerprint"], set()).add(r["n_chars"])
     assert all(len(v) == 1 for v in by_text.values())
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
