@@ -20,6 +20,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows handed to one Arrow batch; long texts stay far below a worker's memory.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -29,8 +30,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound an Arrow batch by rows, so that long texts don't fill a Python worker."""
+    """Bound an Arrow batch by rows and bytes, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
