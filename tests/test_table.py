@@ -131,6 +131,14 @@ def test_bulk_write_and_stream(spark, path, tmp_path):
         assert t.state["last_seq"] == 100 and dict(pairs(t.scan())) == model
 
 
+def test_waiting_writers_share_commits(spark, path):
+    with KVTable.open(spark, path, create_if_missing=True) as t:
+        version = t.state["version"]
+        queue = [(Batch().put(b"a", b"1"), False), (Batch().put(b"b", b"2").delete(b"a"), False), (Batch().put(b"c", b"3"), True)]
+        assert t.write_all(queue) == [1, 3, 4] and t.state["version"] == version + 2
+        assert dict(pairs(t.scan())) == {b"b": b"2", b"c": b"3"} and t.write_all([]) == []
+
+
 def test_stream_state_equals_batch(spark, tmp_path):
     rows = [("a", 5, 1, "new"), ("b", 2, 1, "x"), ("a", 1, 1, "old"), ("b", 9, 0, None), ("c", 3, 1, "y"), ("b", 4, 1, "late")]
     for i, r in enumerate(rows):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compact as compaction
 from ..operators import reads, stats
-from ..operators.batches import Batch, check_ops, number
+from ..operators.batches import Batch, check_ops, group_writers, number
 from ..operators.resolve import live, merge_runs, resolve
 from ..schema import LEVELS, LOG, Corruption, InvalidArgument
 from .files import Folder
@@ -199,6 +199,20 @@ class KVTable:
 
         return self._guard(work)
 
+    def write_all(self, writers: list[tuple[Batch, bool]]) -> list[int]:
+        """Batches of waiting writers (batch, sync), in order: one commit for each group a leader takes along.
+
+        Returns the last sequence of each writer's batch.
+        """
+        out: list[int] = []
+        for group in group_writers((b.size(), sync) for b, sync in writers):
+            at, together = self.state["last_seq"], Batch()
+            for i in group:
+                together.append(writers[i][0])
+                out.append(at + len(together))
+            self.write(together)
+        return out
+
     # --- snapshots
 
     def snapshot(self) -> str:
