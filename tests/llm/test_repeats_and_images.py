@@ -60,6 +60,19 @@ def test_removal_equals_brute_force(spark, monkeypatch, most, part):
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute([(t or "").encode() for _, t, *_ in rows])
 
 
+@pytest.mark.parametrize("part", [1 << 17, 700])
+def test_a_text_that_repeats_itself_alone(spark, monkeypatch, part):
+    monkeypatch.setattr(suffix_repeats, "PART", part)
+    runs = [("q" * 401).encode(), ("-" * 500).encode(), (" " * 799).encode(), ("word " * 100).encode(), (TEXTS[9][1].encode()[:305] * 3)[:799], b"a" + b"z" * 400 + b"b"]
+    rows = [(i, t.decode(errors="replace"), "en", "a") for i, t in enumerate(runs)]
+    for row in rows:  # each with no other document beside it, then all of them
+        got = suffix_repeats.remove_repeats(docs(spark, [row])).collect()
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute([row[1].encode()])
+    got = suffix_repeats.remove_repeats(docs(spark, rows)).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute([t.encode() for _, t, *_ in rows])
+    assert sum(r["n_removed"] > 0 for r in got) == 5
+
+
 def test_removal_of_nothing(spark):
     assert suffix_repeats.remove_repeats(empty(spark)).count() == 0
     rows = suffix_repeats.remove_repeats(docs(spark, TEXTS[1:3]), with_text=True).collect()

@@ -11,9 +11,11 @@ context: the bytes from the first start to the last start's end. Each string is
 context only.
 
 1. Anchors are found in each text: hash, context hash, place. No text moves.
-2. Anchors met once are dropped. Equal contexts collapse to one with a count, so groups of
+2. Anchors met once are dropped, but for contexts in which the least hash stands at two
+   places: only those may repeat a string of their own. Equal contexts collapse to one with a count, so groups of
    exact copies of any size are settled here: all their strings are repeated.
-3. One context of each kind whose anchor also has other contexts is cut from its text and
+3. One context of each kind whose anchor also has other contexts, or that may repeat
+   itself, is cut from its text and
    dealt by anchor. Lists of whole groups go through the suffix array.
 4. A group of over ``MOST`` different contexts would be too much for one task: its
    strings are dealt one by one by a 128-bit hash and counted instead. This is exact too.
@@ -192,13 +194,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first start, number of starts) of each context of a text.
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first start, number of starts, whether the hash stands at two places or more) of each context of a text.
 
     Starts in a row whose strings have the same least hash go together, but for ``length``
     at most: a text that repeats itself has no more contexts than another.
     """
-    hashes, firsts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hashes, firsts, counts, again = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     whole = np.frombuffer(text, np.uint8)
     for k in range(0, len(text) - length + 1, PART):
         t = whole[k : k + PART + length - 1]
@@ -216,30 +218,51 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         own = np.repeat(np.arange(len(new)), pieces)
         nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = new[own] + nth * length
+        starts = np.minimum(length, new[own] + size[own] - first)
         hashes.append(least[first])
         firsts.append(first + k)
-        counts.append(np.minimum(length, new[own] + size[own] - first))
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(counts)
+        counts.append(starts)
+        again.append(_met_again(h, least[first], first, first + starts + length - gram))
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(counts), np.concatenate(again)
+
+
+def _met_again(h: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether h[a:b] has the value ``least`` at two places or more, for each of many ranges."""
+    out = np.zeros(len(a), bool)
+    ranked = np.sort(h)
+    if not (ranked[1:] == ranked[:-1]).any():
+        return out
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    after = np.full(len(h), len(h))  # the next place of the same value
+    after[order[:-1][same]] = order[1:][same]
+    pairs = np.flatnonzero(after < len(h))
+    lo, hi = np.searchsorted(pairs, a), np.searchsorted(pairs, b)
+    for i in np.flatnonzero(hi > lo):
+        p = pairs[lo[i] : hi[i]]
+        out[i] = bool(((h[p] == least[i]) & (after[p] < b[i])).any())
+    return out
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own, hs, cs, firsts, counts = [], [], [], [], []
+        own, hs, cs, firsts, counts, agains = [], [], [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
             if text is None or len(text) < LENGTH:
                 continue
-            h, first, n = anchors(text)
+            h, first, n, again = anchors(text)
             digest = xxhash.xxh3_64_intdigest
             cs += [digest(text[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())]
             own.append(np.full(len(h), i))
             hs.append(h)
             firsts.append(first)
             counts.append(n)
+            agains.append(again)
         if own:
             at = pa.array(np.concatenate(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(cs, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
-                ["h", "c", "r1", "r2", "first", "starts"],
+                [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(cs, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)), pa.array(np.concatenate(agains))],
+                ["h", "c", "r1", "r2", "first", "starts", "again"],
             )
 
 
@@ -301,12 +324,12 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     rows = _row_keys(docs)
-    every = durable(rows.select("r1", "r2", "text").mapInArrow(_find_anchors, "h long, c long, r1 long, r2 int, first int, starts int"))
-    met = every.groupBy("h").count().where("count > 1").select("h")
+    every = durable(rows.select("r1", "r2", "text").mapInArrow(_find_anchors, "h long, c long, r1 long, r2 int, first int, starts int, again boolean"))
+    met = every.groupBy("h").agg(F.count("*").alias("count"), F.max("again").alias("again")).where("count > 1 OR again").select("h")
     found = durable(every.join(met, "h", "left_semi"))
     drop(every)
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("r1", "r2", "first", "starts")])
-    by_anchor = kinds.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("rarest"))
+    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("r1", "r2", "first", "starts", "again")])
+    by_anchor = kinds.groupBy("h").agg(F.count("*").alias("contexts"), F.min("n").alias("rarest"), F.max("again").alias("repeats"))
     kinds = durable(kinds.join(by_anchor, "h"))
     end = (F.col("first") + F.col("starts") + LENGTH - 1).alias("b")
     copied = found.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("r1", "r2", F.col("first").alias("a"), end)
@@ -315,7 +338,7 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind_of = "h long, n long, r1 long, r2 int, first int, context binary, strings array<struct<x:long,y:long>>"
 
     def cut(large: bool) -> DataFrame:
-        wanted = kinds.where("rarest = 1").where(f"contexts > {MOST}" if large else f"contexts BETWEEN 2 AND {MOST}")
+        wanted = kinds.where("rarest = 1").where(f"contexts > {MOST}" if large else f"(contexts > 1 OR repeats) AND contexts <= {MOST}")
         wanted = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "n", "first", "starts", F.lit(large).alias("large"))).alias("wanted"))
         return dealt.join(wanted, ["r1", "r2"]).select("r1", "r2", "doc_id", "text", "wanted").mapInArrow(_cut, kind_of)
 
