@@ -108,3 +108,28 @@ def test_edited_copies_are_found(spark):
     assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 2
     none = spark.createDataFrame([], "image_id long, image binary")
     assert image_copies.find_copies(none, none).count() == 0
+
+
+def turned(image, degrees):
+    """About its middle, bilinear; what comes from outside is grey."""
+    h, w = image.shape
+    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    y, x = np.mgrid[0:h, 0:w] - (h - 1) / 2
+    sy, sx = s * x + c * y + (h - 1) / 2, c * x - s * y + (w - 1) / 2
+    inside = (sy >= 0) & (sy <= h - 1) & (sx >= 0) & (sx <= w - 1)
+    y0, x0 = np.clip(sy.astype(int), 0, h - 2), np.clip(sx.astype(int), 0, w - 2)
+    fy, fx = sy - y0, sx - x0
+    out = (1 - fy) * ((1 - fx) * image[y0, x0] + fx * image[y0, x0 + 1]) + fy * ((1 - fx) * image[y0 + 1, x0] + fx * image[y0 + 1, x0 + 1])
+    return np.where(inside, out, 128)
+
+
+def test_edits_between_the_steps_of_the_pyramid_are_found(spark):
+    drawings = [image_copies.drawn([float(i), 1.0]) for i in range(60)]
+    images = spark.createDataFrame([(i, bytearray(image_copies.pgm(d))) for i, d in enumerate(drawings)], "image_id long, image binary").repartition(4)
+    edits = [lambda d: turned(d, 17), lambda d: turned(d, 37), lambda d: image_copies.resized(d, 0.87), lambda d: image_copies.resized(d, 1.3)]
+    asked = [(1000 * k + i, bytearray(image_copies.pgm(edit(drawings[i])))) for k, edit in enumerate(edits) for i in range(0, 60, 2)]
+    queries = spark.createDataFrame(asked, "image_id long, image binary").repartition(4)
+    got = {(r["query_id"], r["match_id"]) for r in image_copies.find_copies(queries, images).collect()}
+    for k in range(len(edits)):
+        assert len({(1000 * k + i, i) for i in range(0, 60, 2)} & got) >= 28, k
+    assert sum(q % 1000 != m for q, m in got) <= 2
