@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from cases import TEXTS, docs, empty
+from cases import TEXTS, docs, empty, prose
 
 from tidelog.llm import simhash
 from tidelog.llm.components import components, forest
@@ -76,3 +76,11 @@ def test_one_of_each(spark):
     rows = simhash.one_of_each(docs(spark)).collect()
     ids = [r["doc_id"] for r in rows]
     assert len(ids) == len(set(ids)) and 0 in ids and 3 not in ids and len(rows[0]) == 11
+
+
+def test_one_of_each_group_where_ids_are_null_or_shared(spark):
+    rows = [(None, prose(i, 80), "en", "a") for i in range(20, 30)] + [(50, prose(i, 80), "en", "a") for i in range(30, 34)]
+    rows += [(None, prose(20, 80), "en", "a"), (None, prose(30, 80), "en", "a"), (8, prose(21, 80), "en", "a"), (50, prose(31, 80), "en", "a")]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(docs(spark, rows)).collect())
+    want = [(8 if i == 21 else 0, prose(i, 80)) for i in range(20, 30)] + [(50, prose(i, 80)) for i in range(30, 34)]
+    assert got == sorted(want)

@@ -192,8 +192,8 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, apart: int = BITS_APART, n_piv
     return dealt.mapInArrow(_links(apart, n_pivots), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for each row; component_id: smallest doc_id reachable over links."""
+def grouped(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) for each row; root: smallest fingerprint reachable over links."""
     marked = durable(fingerprints(docs, width))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     small_batches(docs.sparkSession, 20_000)
@@ -201,16 +201,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, apart: int = BITS_APART) ->
     small_batches(docs.sparkSession)
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(nodes.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return marked.join(nodes.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for each row; component_id: smallest doc_id reachable over links."""
+    return grouped(docs, width, apart).drop("root")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, apart: int = BITS_APART) -> DataFrame:
-    """Rows of ``docs`` with the smallest doc_id of each group of near duplicates, one row each.
+    """One row of ``docs`` of each group of near duplicates: the one with the smallest doc_id.
 
-    Where rows share that id, the one with the smallest text hash stays.
+    A null id comes after all others. Where rows of a group share that id, the one with the
+    smallest text hash stays. Groups that share an id, or have none, keep a row each.
     """
-    found = near_duplicates(docs, width, apart).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.groupBy(F.col("component_id")).agg(F.min("text_hash").alias("keep_hash")).select(F.col("component_id").alias("keep_id"), "keep_hash")
+    found = grouped(docs, width, apart)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_hash") == F.col("keep_hash")), "left_semi")
     again = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
