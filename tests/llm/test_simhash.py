@@ -72,10 +72,66 @@ def test_components_over_rounds(spark, monkeypatch):
     assert got == {i: 0 for i in range(1, 61)}
 
 
+def similar(rows, least=0.8):
+    """Groups of (id, text, ...) connected by Jaccard similarity of five-word shingles, by comparing all pairs."""
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t, *_ in rows]
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if part[i] != part[j] and (a == b or len(a & b) >= least * len(a | b)):
+                part = [part[j] if p == part[i] else p for p in part]
+    return [[r for r, p in zip(rows, part) if p == q] for q in set(part)]
+
+
+def family(seed, n, size=120):
+    """A text, and copies of it with a word changed each, further and further from it."""
+    words, out = prose(seed, size).split(), []
+    for i in range(n):
+        out.append(" ".join(words))
+        words[(37 * i + 11) % size] = f"new{seed}x{i}"
+    return out
+
+
+@pytest.mark.parametrize("per_hub", [1000, 2])
+def test_similar_groups_equal_all_pairs(spark, monkeypatch, per_hub):
+    monkeypatch.setattr(simhash, "NODES_OF_HUB", per_hub)
+    rows = list(TEXTS)
+    for seed in (31, 32, 33):
+        rows += [(1000 * seed + i, t, "en", "a") for i, t in enumerate(family(seed, 14))]
+    rows += [(50_000 + i, prose(40, 300) + " " + prose(41 + i, 60), "en", "a") for i in range(20)]  # a passage all share: J about 0.7
+    rows += [(60_000 + i, " ".join("abcdefgh"[: 5 + i % 4]), "en", "a") for i in range(8)]
+    groups = {}
+    for r in simhash.similar_groups(docs(spark, rows)).collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    key = lambda g: sorted(map(str, g))
+    assert sorted(map(key, groups.values())) == sorted(key(i for i, *_ in g) for g in similar(rows))
+    assert simhash.similar_groups(empty(spark)).count() == 0
+
+
+def test_many_texts_of_one_template(spark):
+    """None is like another, all meet: hubs of later rounds compare the rest."""
+    shared = prose(70, 150)
+    rows = [(i, f"{shared} {prose(100 + i, 45)}", "en", "a") for i in range(40)] + [(100, f"{shared} {prose(139, 45)} end", "en", "a")]
+    roots = [r["root"] for r in simhash.similar_groups(docs(spark, rows)).collect()]
+    assert len(set(roots)) == len(similar(rows)) == 40
+
+
 def test_one_of_each(spark):
     rows = simhash.one_of_each(docs(spark)).collect()
     ids = [r["doc_id"] for r in rows]
-    assert len(ids) == len(set(ids)) and 0 in ids and 3 not in ids and len(rows[0]) == 11
+    assert len(ids) == len(set(ids)) and 0 in ids and 3 not in ids and 12 not in ids and len(rows[0]) == 11
+
+
+def test_one_of_each_keeps_columns_with_names_used_inside(spark):
+    names = ("text_hash", "key", "row", "root", "_hash", "node")
+    df = spark.createDataFrame([(1, "a b", *"uvwxyz"), (2, "a b", *"uvwxyz"), (None, "c", *"uvwxyz")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    rows = simhash.one_of_each(df, simhash.grouped(df)).collect()
+    assert sorted((r["doc_id"] or 0, *r[2:]) for r in rows) == [(0, *"uvwxyz"), (1, *"uvwxyz")]
 
 
 def test_one_of_each_group_where_ids_are_null_or_shared(spark):

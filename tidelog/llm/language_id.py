@@ -8,10 +8,11 @@ language are landmarks; Nyström's map takes a text's kernels to them into a spa
 one-versus-rest ridge regression is fitted. Texts are scored in batches: presence rows
 times landmarks, then times weights.
 
-Learning uses at most ``PER_LANG`` labelled texts of a language, each of at most
-``LEARN_BYTES`` bytes, chosen by a hash of the id: a bounded sample. Every text is
-scored whole. A null text, or one without letters, is ``und`` with score 0; so are all
-texts if nothing is labelled. Repeated rows score alike; extra columns are ignored.
+Learning uses at most ``PER_LANG`` labelled texts of a language, chosen by a hash of the
+id, and of each its first ``LEARN_BYTES`` bytes: a bounded sample. Every text is
+scored whole, however long. A null text, or one without letters, is ``und`` with score 0;
+so are all texts if nothing is labelled. Repeated rows score alike; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,18 +105,24 @@ class Model:
         """Normalised kernels of presence rows to the landmarks."""
         return rows.astype(np.float32) @ self.columns / np.sqrt(np.maximum(1, rows.sum(1, dtype=np.int64)))[:, None]
 
-    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Language number and score (0 to 1) of each text."""
+    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language number, score (0 to 1) and margin of each text.
+
+        The margin is the best regression value's lead over the second best, so it doesn't
+        hang on how many languages there are; 1 if there is one only. Of equal values the
+        language first by name wins.
+        """
         if not hasattr(self, "columns"):
             self.prepare()
         s = self.kernel(presence(texts)) @ self.weights + self.offset
         e = np.exp(SHARPNESS * (s - s.max(1, keepdims=True)))
-        return s.argmax(1), e.max(1) / e.sum(1)
+        lead = np.ones(len(s)) if s.shape[1] == 1 else np.diff(np.partition(s, -2, axis=1)[:, -2:])[:, 0]
+        return s.argmax(1), e.max(1) / e.sum(1), lead
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learn from labelled rows whose crc32(doc_id) mod 4 is not 2; None without any."""
-    rows = docs.where((crc_rest(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= LEARN_BYTES))
+    rows = docs.where((crc_rest(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     key = F.xxhash64(F.col("doc_id").cast("string"))
     # a language's count tells how low a key must be for about SPARE times the rows wanted: no task sees more
     least = F.lit(None).cast("long")
@@ -125,31 +132,31 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
     chosen = rows.where(key <= least).select("lang", "doc_id", F.row_number().over(first).alias("n")).where(F.col("n") <= per_lang).select("doc_id", "lang")
     # at most per_lang rows of each language
-    got = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", key.alias("key"), F.col("text").cast("binary")).toArrow().to_pylist()
+    got = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", key.alias("key"), F.substring(F.col("text").cast("binary"), 1, LEARN_BYTES).alias("text")).toArrow().to_pylist()
     got.sort(key=lambda r: (r["key"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return Model([r["text"] for r in got], [r["lang"] for r in got]) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score."""
+    """The columns of ``keep`` with lang_pred, score and margin."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).to_pylist()]
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            pred, score, margin = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if model and has_letter(t)]
             for k in range(0, len(known), ROWS):
                 part = known[k : k + ROWS]
-                best, score[part] = model.predict([texts[i] for i in part])
+                best, score[part], margin[part] = model.predict([texts[i] for i in part])
                 for i, c in zip(part, best):
                     pred[i] = model.langs[c]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score), pa.array(margin)], names)
 
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, "lang_pred", "score", "margin"]
     rows = docs.select(F.col("text").cast("binary").alias("_text"), *keep)
     kinds = dict(docs.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double", "margin double"]))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
