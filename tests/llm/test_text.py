@@ -73,16 +73,27 @@ def test_pii_equals_plain_patterns(spark):
     assert pii.pii(docs(spark)).count() == len(TEXTS) and pii.pii(empty(spark)).count() == 0
 
 
+ADDED = ["dni 12345678Z y nif 12345678A, dni: 00000000-T", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" or so', "nir 1 85 05 78 006 084 91 ok, 185057800608490", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "key aaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
+
+
 def test_pii_sql(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(PII[:5])], "doc_id long, text string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PII[:5] + ADDED)], "doc_id long, text string")
     same(pii.pii(df).drop("scores"), in_sql(df, pii.ORACLES["op10_pii"]))
 
 
 def test_pii_checksums_and_context(spark):
-    texts = ["Konto DE89 3704 0044 0532 0130 00 ok", "IBAN DE89370400440532013001", "my SSN is 078-05-1120", "part 078-05-1120", "card 4539148803436467", "serial 4539148803436467"]
+    texts = ["Konto DE89 3704 0044 0532 0130 00 ok", "IBAN DE89370400440532013001", "my SSN is 078-05-1120", "part 078-05-1120", "card 4539148803436467", "serial 4539148803436467", *ADDED]
     got = {r["doc_id"]: r for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0]["spans"] == "iban:6:33" and got[1]["spans"] == "" and got[2]["spans"].startswith("ssn") and got[3]["spans"] == ""
     assert got[4]["scores"][0] > got[5]["scores"][0]
+    assert [got[i]["spans"] for i in range(6, 11)] == ["dni:4:13,dni:36:46", "secret:9:49", "nir:4:25", "", ""] and got[6]["n_spans"] == 2
+
+
+def test_pii_places_in_a_text_of_very_many_matches(spark):
+    text = "".join(f"é{'x' * (i % 37)} a{i}@b.cd" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.pii(df).first()["spans"] == base_spans(text)
+    assert pii.redact(df).first()["text"] == re.sub(r"[a-z0-9]+@b.cd", "[EMAIL]", text)
 
 
 def test_redaction_masks_unions(spark):
@@ -112,6 +123,22 @@ def test_merkle_awkward(spark):
     assert one["near_next"] == 1.0
 
 
+def test_merkle_sql_of_long_paragraphs_and_scripts_without_spaces(spark):
+    words = " ".join(f"wort{i}{'ae'[i % 2]}" for i in range(30_000))
+    rows = [(i, t, "en", "a") for i, t in enumerate(["x" * 200_000, "x" * 150_000 + "y" * 50_000, words, words + " z", "\u6587\u5b57\u3002" * 400, "\u6587\u5b57" * 4000, "a\nb\n\n" * 300, "a\nb\n\n" * 299 + "c"])]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r for r in merkle.compare_with_next(df).collect()}
+    assert got[2]["near_edited"] > 0.6 and got[3]["near_edited"] > 0.6 and got[3]["near_next"] > 0.99
+    same(merkle.compare_with_next(df), in_sql(df, merkle.ORACLES["op7_merkle"]))
+
+
+def test_merkle_of_many_rows_without_id(spark):
+    rows = [(None, f"text {i % 7}. More of it.", "en", "a") for i in range(40)] + [(1, "One. Two.", "en", "a")]
+    got = merkle.compare_with_next(docs(spark, rows)).collect()
+    assert len(got) == 41 and sum(r["doc_id"] is None for r in got) == 40
+    assert len({(r["fingerprint"], r["edited_fingerprint"], r["near_next"]) for r in got}) == 8
+
+
 def test_differences_locate_edits(spark):
     a, b = "One. Two. Three.\nFour. Five.\nSix.", "One. Two. Three.\nFour. Fife.\nSix. Seven."
     row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d"), merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("a"))).alias("none")).first()
