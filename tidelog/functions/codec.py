@@ -224,3 +224,19 @@ def short_successor(key: bytes) -> bytes:
 @F.pandas_udf(T.BinaryType())
 def separator(start: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([shortest_separator(bytes(a), bytes(b)) for a, b in zip(start, limit)])
+
+
+@F.pandas_udf(T.BinaryType())
+def successor(key: pd.Series) -> pd.Series:
+    return pd.Series([short_successor(bytes(k)) for k in key])
+
+
+# Multiplier and modulus of the random numbers.
+RANDOM_MULTIPLIER, RANDOM_MODULUS = 16807, 2147483647
+
+
+def random_number(seed: int, i: Column) -> Column:
+    """The i-th number after the seed: seed x multiplier^i by the bits of i, so any place is reached alone."""
+    powers = [pow(RANDOM_MULTIPLIER, 1 << bit, RANDOM_MODULUS) for bit in range(40)]
+    factors = F.transform(F.array(*[F.lit(p).cast("long") for p in powers]), lambda p, bit: F.when(F.getbit(i, bit) == 1, p).otherwise(F.lit(1).cast("long")))
+    return F.aggregate(factors, F.lit(seed % RANDOM_MODULUS).cast("long"), lambda x, f: x * f % RANDOM_MODULUS)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,16 +53,17 @@ def build(entries: DataFrame, bits_per_key: int = 10) -> DataFrame:
 
 
 def probe(requests: DataFrame, filters: DataFrame) -> DataFrame:
-    """Pairs (k, file_no) with whether the file may hold the key. Requests name the file they'd read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pandas()
-            hit = np.zeros(len(rows), bool)
-            for _, group in rows.groupby("file_no"):
-                keys = [k.encode() if isinstance(k, str) else bytes(k) for k in group["k"]]
-                hit[group.index] = may_contain(group["filter"].iloc[0], keys)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"k": rows["k"], "file_no": rows["file_no"], "may_contain": hit}), preserve_index=False)
+    """Pairs (k, file_no) with whether the file may hold the key. Requests name the file they'd read.
 
+    A file's requests and its filter meet as two groups, so the filter travels once, not
+    with each request. A file without a filter may hold anything.
+    """
     kind = dict(requests.dtypes)["k"]
-    return requests.join(filters, "file_no").select("k", "file_no", "filter").mapInArrow(run, f"k {kind}, file_no long, may_contain boolean")
+
+    def one(asked: pa.Table, found: pa.Table) -> pa.Table:
+        keys = [k.encode() if isinstance(k, str) else bytes(k) for k in asked["k"].to_pylist()]
+        hit = may_contain(found["filter"][0].as_py(), keys) if found.num_rows else np.ones(len(keys), bool)
+        return pa.table({"k": asked["k"], "file_no": asked["file_no"].cast(pa.int64()), "may_contain": pa.array(hit)})
+
+    both = requests.select("k", F.col("file_no").cast("long")).groupBy("file_no").cogroup(filters.groupBy("file_no"))
+    return both.applyInArrow(one, f"k {kind}, file_no long, may_contain boolean")

@@ -35,3 +35,21 @@ def counters(deltas: DataFrame, *names: str) -> DataFrame:
 def full_record(files: DataFrame, delta_no: int) -> DataFrame:
     """One delta that holds the whole state: earlier ones are no longer needed."""
     return files.withColumn("delta_no", F.lit(delta_no).cast("long")).withColumn("is_add", F.lit(1).cast("long"))
+
+
+DELTA = "delta_no long, is_add long, level long, file_no long"
+
+
+def encoded(deltas: DataFrame) -> DataFrame:
+    """(delta_no, record): a delta's files as one JSON record."""
+    files = F.collect_list(F.struct("is_add", "level", "file_no"))
+    return deltas.groupBy("delta_no").agg(F.to_json(F.struct(F.lit(1).alias("format"), files.alias("files"))).alias("record"))
+
+
+def decoded(records: DataFrame) -> DataFrame:
+    """Deltas from their records; one that isn't well formed is null, and raises."""
+    kind = "struct<format:int,files:array<struct<is_add:bigint,level:bigint,file_no:bigint>>>"
+    read = F.from_json("record", kind)
+    bad = F.raise_error(F.concat(F.lit("bad delta: "), F.substring("record", 1, 80))).cast(kind)
+    rows = records.withColumn("_r", F.when(read.isNotNull() & read["files"].isNotNull(), read).otherwise(bad))
+    return rows.select("delta_no", F.explode("_r.files").alias("f")).select("delta_no", "f.*")

@@ -56,6 +56,12 @@ def approximate_sizes(entries: DataFrame, ranges: list[tuple]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("begin"), F.lit(b).alias("end"), F.coalesce(F.col(f"r{i}"), F.lit(0)).cast("long").alias("bytes")) for i, (a, b) in enumerate(ranges)])).alias("r")).select("r.*")
 
 
+def file_offset(entries: DataFrame, key) -> DataFrame:
+    """(file_no, before): bytes of each file's entries below the key."""
+    size = F.when(F.col("k") < F.lit(key), encoded_size(F.col("k"), F.col("v"))).otherwise(0)
+    return entries.groupBy("file_no").agg(F.sum(size).cast("long").alias("before"))
+
+
 def approximate_offset(files: DataFrame, key) -> DataFrame:
     """Bytes of files that end before the key, and of those that hold it: where an offset lies between."""
     k = F.lit(key)

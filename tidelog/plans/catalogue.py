@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {logs.SQL}{sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {logs.SQL}{sql}"
         return f
 
     return add
@@ -66,7 +66,9 @@ def tombstoned_keys(spark, d):
 
 @query(", x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY layer DESC, line DESC, part DESC, supp DESC, price DESC) AS rk FROM l2) SELECT k, v FROM x WHERE rk = 1 AND op = 1")
 def layered_get(spark, d):
-    return live(logs.orders(spark, d), order=logs.ORDER).select("k", "v")
+    log = logs.orders(spark, d)
+    layers = [resolve(log.where(F.col("layer") == n), order=logs.ORDER).select("k", "op", "v") for n in (1, 0)]
+    return reads.layered(layers).select("k", "v")
 
 
 @query(", x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY line DESC, part DESC, supp DESC, price DESC) AS rk FROM l2 WHERE layer = 1) SELECT k, CASE WHEN op = 1 THEN 'FOUND' ELSE 'DELETED' END AS state, v FROM x WHERE rk = 1")
@@ -128,10 +130,18 @@ def backpressure_decision(spark, d):
     return states.withColumn("slowed", batches.slowed(a)).withColumn("outcome", batches.admission(a, b, c))
 
 
-@query()
+_QUEUE = ", q AS (SELECT (seq - 1) // 8 AS i, 12 + 400 * sum(2 + strlen(k) + coalesce(strlen(v), 0))::BIGINT AS size, ((seq - 1) // 8) % 5 = 0 AS sync FROM l1 GROUP BY (seq - 1) // 8)"
+
+
+@query(f"""{_QUEUE}, g AS (SELECT i, size, sync AS leader, 0::BIGINT AS group_no, size AS total, (CASE WHEN size <= 131072 THEN size + 131072 ELSE 1048576 END)::BIGINT AS most FROM q WHERE i = 0
+  UNION ALL SELECT q.i, q.size, CASE WHEN joins THEN g.leader ELSE q.sync END, CASE WHEN joins THEN g.group_no ELSE g.group_no + 1 END, CASE WHEN joins THEN g.total + q.size ELSE q.size END,
+    (CASE WHEN joins THEN g.most WHEN q.size <= 131072 THEN q.size + 131072 ELSE 1048576 END)::BIGINT
+  FROM g JOIN q ON q.i = g.i + 1, LATERAL (SELECT g.total + q.size <= g.most AND (g.leader OR NOT q.sync) AS joins))
+SELECT group_no, count(*)::BIGINT AS writers, sum(size)::BIGINT AS bytes FROM g GROUP BY group_no""")
 def group_commit(spark, d):
-    """Groups that leaders form of writers in order of arrival (rule by simulation, in order)."""
-    queue = [(64 + i * 977 % 90_000, i % 5 == 0) for i in range(200)]
+    """Groups that leaders form of writers, one for each batch, in order of arrival."""
+    size = 400 * F.sum(F.lit(2) + F.length("k") + F.coalesce(F.octet_length("v"), F.lit(0))) + 12
+    queue = [(r["size"], r["batch_id"] % 5 == 0) for r in _batched(spark, d).groupBy("batch_id").agg(size.alias("size")).orderBy("batch_id").collect()]  # a writer's queue is its driver's
     groups = batches.group_writers(queue)
     return spark.createDataFrame([(g, len(m), sum(queue[i][0] for i in m)) for g, m in enumerate(groups)], "group_no long, writers long, bytes long")
 
@@ -331,9 +341,9 @@ def compact_equivalence(spark, d):
 @query(f"{_A} SELECT (SELECT count(*) FROM l1)::BIGINT AS entries_in, (SELECT count(*) FROM ka)::BIGINT AS entries_out, (SELECT sum(strlen(k) + 8 + coalesce(strlen(v), 0)) FROM l1)::BIGINT AS bytes_in, (SELECT sum(strlen(k) + 8 + coalesce(strlen(v), 0)) FROM ka)::BIGINT AS bytes_out")
 def compact_stats(spark, d):
     log = logs.events(spark, d)
-    rows = compact.newer_seq(log).withColumn("size", stats.encoded_size(F.col("k"), F.col("v")))
-    kept = F.col("newer_seq").isNull() | (F.col("newer_seq") > logs.last_sequence(log) // 2)
-    return rows.agg(F.count("*").alias("entries_in"), F.count(F.when(kept, 1)).alias("entries_out"), F.sum("size").cast("long").alias("bytes_in"), F.sum(F.when(kept, F.col("size"))).cast("long").alias("bytes_out"))
+    size = stats.encoded_size(F.col("k"), F.col("v"))
+    facts = lambda rows, to: rows.agg(F.count("*").alias(f"entries_{to}"), F.sum(size).cast("long").alias(f"bytes_{to}"))
+    return facts(log, "in").crossJoin(facts(compact.drop_hidden(log, logs.last_sequence(log) // 2), "out"))  # a row each
 
 
 def _files(spark, d):
@@ -385,13 +395,23 @@ def level0_closure(spark, d):
 _CUTS = ", z AS (SELECT k, seq, (row_number() OVER (ORDER BY k, seq DESC) - 1) // 97 AS file_no, (row_number() OVER (ORDER BY k, seq DESC) - 1) % 97 AS p FROM l1), cuts AS (SELECT file_no, arg_min(k, p) AS smallest, arg_min(seq, p) AS smallest_seq, arg_max(k, p) AS largest, arg_max(seq, p) AS largest_seq FROM z GROUP BY file_no)"
 
 
-@query(f"{_CUTS} SELECT a.file_no, b.file_no AS next_no FROM cuts a JOIN cuts b ON a.largest = b.smallest AND b.smallest_seq < a.largest_seq")
+@query(f"{_CUTS}, b AS (SELECT * FROM cuts WHERE file_no % 5 = 0 UNION SELECT f.* FROM cuts f JOIN b ON f.smallest = b.largest AND f.smallest_seq < b.largest_seq) SELECT file_no FROM b")
 def boundary_inputs(spark, d):
-    """For each file, those that go on with its last key (one step of the expansion)."""
+    """Every fifth file, and those that go on with a chosen one's last key, to the end."""
     rows = ordered.numbered(logs.events(spark, d).select("k", "seq", (-F.col("seq")).alias("down")), ["k", "down"], "n")
     rows = rows.withColumn("file_no", F.floor(F.col("n") / 97)).groupBy("file_no").agg(*[f(c, "n").alias(x) for x, c, f in (("smallest", "k", F.min_by), ("smallest_seq", "seq", F.min_by), ("largest", "k", F.max_by), ("largest_seq", "seq", F.max_by))])
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.largest") == F.col("b.smallest")) & (F.col("b.smallest_seq") < F.col("a.largest_seq"))).select(F.col("a.file_no").alias("file_no"), F.col("b.file_no").alias("next_no"))
+    return compact.boundary_inputs(rows, rows.where("file_no % 5 = 0")).select("file_no")
+
+
+_CHAIN = ", y AS (SELECT o_orderkey // 500 AS file_no, min(o_orderkey) AS smallest, max(o_orderkey) + CASE WHEN (o_orderkey // 500) % 5 = 0 THEN 0 ELSE 100 END AS largest FROM orders GROUP BY o_orderkey // 500)"
+
+
+@query(f"{_CHAIN}, b AS (SELECT * FROM y WHERE smallest <= 600 AND largest >= 600 UNION SELECT y.* FROM y JOIN b ON y.smallest <= b.largest AND y.largest >= b.smallest) SELECT file_no FROM b")
+def level0_closure_steps(spark, d):
+    """Files of which each reaches the next, but for every fifth: the closure takes several steps."""
+    files = logs.table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("file_no")).agg(F.min("o_orderkey").alias("smallest"), F.max("o_orderkey").alias("largest"))
+    files = files.withColumn("largest", F.col("largest") + F.when(F.col("file_no") % 5 == 0, 0).otherwise(100)).withColumn("level", F.lit(0))
+    return spark.createDataFrame([(n,) for n in compact.closure(files, 600, 600)], "file_no long")
 
 
 @query("SELECT file_no, file_size, ((sum(file_size) OVER (ORDER BY smallest, file_no) - file_size)::BIGINT // 5000)::BIGINT AS output FROM files WHERE level = 2")
@@ -410,10 +430,13 @@ def pick_candidate(spark, d):
     return compact.candidate(_files(spark, d), pointers).select("level", "file_no")
 
 
-@query("SELECT (count(*) = 1 AND (SELECT count(*) FROM files WHERE level = 5) = 0) AS moves FROM files WHERE level = 4")
+@query("""SELECT level, (SELECT count(*) FROM files f WHERE f.level = g.level) = 1 AND (SELECT count(*) FROM files f WHERE f.level = g.level + 1) = 0
+  AND coalesce((SELECT sum(file_size) FROM files f WHERE f.level = g.level + 2), 0) <= 20971520 AS moves FROM (SELECT unnest(range(0, 5)) AS level) g""")
 def trivial_move(spark, d):
-    files = _files(spark, d)
-    return files.agg(((F.count(F.when(F.col("level") == 4, 1)) == 1) & (F.count(F.when(F.col("level") == 5, 1)) == 0)).alias("moves"))
+    """Whether all a level has could move down as it is."""
+    by = {r["level"]: r for r in stats.level_summary(spark, _files(spark, d)).collect()}  # a row for each level
+    rows = [(n, compact.is_trivial_move(by[n]["files"], by[n + 1]["files"], by[n + 2]["bytes"])) for n in range(5)]
+    return spark.createDataFrame(rows, "level long, moves boolean")
 
 
 # --- statistics
@@ -515,9 +538,14 @@ def pack_unpack_tag(spark, d):
     return e.select("seq", "op", "tag", codec.unpack_seq(F.col("tag")).alias("seq_back"), codec.unpack_op(F.col("tag")).alias("op_back"), codec.debug_key(F.col("k"), F.col("seq"), F.col("op")).alias("debug"))
 
 
-@query("SELECT n, (CASE WHEN n < 128 THEN 1 ELSE floor(log2(n) / 7) + 1 END)::BIGINT AS bytes FROM (SELECT o_orderkey * o_orderkey AS n FROM orders WHERE o_orderkey % 2 = 1)")
+def _varint_bytes(n: str) -> str:
+    """SQL for the number of bytes of a varint."""
+    return "(CASE " + " ".join(f"WHEN {n} < {1 << 7 * i} THEN {i}" for i in range(1, 9)) + " ELSE 9 END)::BIGINT"
+
+
+@query(f"SELECT n, {_varint_bytes('n')} AS bytes FROM (SELECT o_orderkey * o_orderkey AS n FROM orders)")
 def varint_length(spark, d):
-    n = logs.table(spark, d, "orders").where("o_orderkey % 2 = 1").select((F.col("o_orderkey") * F.col("o_orderkey")).alias("n"))
+    n = logs.table(spark, d, "orders").select((F.col("o_orderkey") * F.col("o_orderkey")).alias("n"))
     return n.select("n", codec.varint_length(F.col("n")).cast("long").alias("bytes"))
 
 
@@ -569,27 +597,82 @@ def comparator_reverse(spark, d):
     return ordered.numbered(rows, ["sk"], "place", 1).select("k", "place")
 
 
-@query()
+def _hash(k: str, rest: str | None = None) -> str:
+    """SQL for the 32-bit hash of a string of sixteen bytes, or of one more (``rest``: its code)."""
+    size, m = 16 + (rest is not None), codec.HASH_MULTIPLIER
+    word = f"(ascii({k}[4 * i + 1]) + 256 * ascii({k}[4 * i + 2]) + 65536 * ascii({k}[4 * i + 3]) + 16777216::BIGINT * ascii({k}[4 * i + 4]))::BIGINT"
+    mixed = lambda h, w, shift: f"list_transform([(({h} + {w})::HUGEINT * {m} % 4294967296)::BIGINT], lambda x: xor(x, x >> {shift}))[1]"
+    whole = f"list_reduce(list_prepend({codec.BLOOM_SEED ^ (size * m % 2**32)}::BIGINT, list_transform(range(4), lambda i: {word})), lambda h, w: {mixed('h', 'w', 16)})"
+    return whole if rest is None else mixed(whole, rest, codec.HASH_SHIFT)
+
+
+_PLACES = "list_transform(range(6), lambda i: (h + (((h >> 17) | (h << 15)) & 4294967295) * i) % 4294967296 % bits)"
+
+
+@query(f""", b0 AS (SELECT DISTINCT file_no, k FROM f1 WHERE level = 2), b1 AS (SELECT file_no, k, {_hash('k')} AS h, {_hash('k', "ascii('x')")} AS hx FROM b0),
+b2 AS (SELECT file_no, (greatest(count(*) * 10, 64) + 7) // 8 * 8 AS bits FROM b0 GROUP BY file_no), b3 AS (SELECT b1.*, bits FROM b1 JOIN b2 USING (file_no)),
+b4 AS (SELECT file_no, list_distinct(flatten(list({_PLACES}))) AS taken FROM b3 GROUP BY file_no),
+b5 AS (SELECT file_no, k, h, bits, false AS absent FROM b3 UNION ALL SELECT file_no, k || 'x', hx, bits, true FROM b3)
+SELECT b5.file_no, k, list_has_all(taken, {_PLACES}) AS may_contain FROM b5 JOIN b4 USING (file_no)""")
 def bloom_probe(spark, d):
     """Existing keys and as many absent ones against the filter of the file that would hold them."""
     rows, _ = logs.filed(spark, d)
-    rows = rows.where("level = 2")
-    filters = bloom.build(rows.select("file_no", "k").distinct())
-    asked = rows.select("file_no", "k").distinct()
-    asked = asked.union(asked.select("file_no", F.concat("k", F.lit("x")).alias("k")))
-    hit = bloom.probe(asked, filters)
-    return hit.groupBy(F.endswith(F.col("k"), F.lit("x")).alias("absent")).agg(F.count("*").alias("keys"), F.count(F.when(F.col("may_contain"), 1)).alias("maybe"))
+    rows = rows.where("level = 2").select("file_no", "k").distinct()
+    asked = rows.union(rows.select("file_no", F.concat("k", F.lit("x")).alias("k")))
+    return bloom.probe(asked, bloom.build(rows)).select("file_no", "k", "may_contain")
 
 
-@query()
+_STEP = "list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda a, x: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 2197175160 ELSE 0 END))"
+
+
+@query(f""", ks AS (SELECT DISTINCT k FROM l1), cs AS (SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 17), lambda i: ascii(k[i])::BIGINT)), lambda c, b: {_STEP}), 4294967295::BIGINT) AS crc FROM ks)
+SELECT k, crc, {_hash('k')} AS hash, ((((crc >> 15) | (crc << 17)) & 4294967295) + {codec.CRC_MASK_DELTA}) & 4294967295 AS masked, crc AS back FROM cs""")
 def checksums(spark, d):
     e = logs.events(spark, d).select("k")
     crc = codec.crc32c(F.col("k").cast("binary"))
     return e.distinct().select("k", crc.alias("crc"), codec.hash32(F.col("k").cast("binary")).alias("hash")).withColumn("masked", codec.mask_crc(F.col("crc"))).withColumn("back", codec.unmask_crc(F.col("masked")))
 
 
-@query()
+def _hexed(n: str, byte: str) -> str:
+    return f"list_aggregate(list_transform(range({n}), lambda i: printf('%02X', {byte})), 'string_agg', '')"
+
+
+@query(f"""SELECT k, seq, k || '\\x00\\xff' AS escaped, {_hexed(_varint_bytes('seq'), f"((seq >> (7 * i)) & 127) + CASE WHEN i < {_varint_bytes('seq')} - 1 THEN 128 ELSE 0 END")} AS varint, seq AS varint_back,
+  {_hexed('8', '(seq >> (8 * i)) & 255')} AS fixed, seq AS fixed_back, '31' AS separator FROM l1""")
 def escape_and_codecs(spark, d):
-    e = logs.events(spark, d).where("seq <= 500").select("k", "seq")
+    e = logs.events(spark, d).select("k", "seq")
     b = F.col("k").cast("binary")
-    return e.select("k", "seq", codec.escaped(F.concat(b, F.lit(b"\x00\xff"))).alias("escaped"), codec.varint(F.col("seq")).alias("varint"), codec.varint_value(codec.varint(F.col("seq"))).alias("varint_back"), codec.fixed_le(F.col("seq"), 8).alias("fixed"), codec.fixed_le_value(codec.fixed_le(F.col("seq"), 8), 8).cast("long").alias("fixed_back"), codec.separator(b, F.lit(b"\x7f")).alias("separator"))
+    return e.select("k", "seq", codec.escaped(F.concat(b, F.lit(b"\x00\xff"))).alias("escaped"), F.hex(codec.varint(F.col("seq"))).alias("varint"), codec.varint_value(codec.varint(F.col("seq"))).alias("varint_back"), F.hex(codec.fixed_le(F.col("seq"), 8)).alias("fixed"), codec.fixed_le_value(codec.fixed_le(F.col("seq"), 8), 8).cast("long").alias("fixed_back"), F.hex(codec.separator(b, F.lit(b"\x7f"))).alias("separator"))
+
+
+@query("""SELECT a || '@' AS start_key, CASE WHEN ascii(b) > ascii(a) + 1 THEN chr(ascii(a) + 1) ELSE a || '@' END AS separator, chr(ascii(a) + 1) AS successor
+  FROM (SELECT DISTINCT substr(o_orderpriority, 3, 1) AS a FROM orders), (SELECT DISTINCT substr(o_orderpriority, 3, 1) AS b FROM orders)""")
+def separator_successor(spark, d):
+    """Shortest keys between the initials of each two priorities (few), and after each."""
+    one = logs.table(spark, d, "orders").select(F.substring("o_orderpriority", 3, 1).alias("a")).distinct()
+    pairs = one.crossJoin(one.select(F.col("a").alias("b")))
+    start = F.concat("a", F.lit("@"))
+    return pairs.select(start.alias("start_key"), codec.separator(start.cast("binary"), F.col("b").cast("binary")).cast("string").alias("separator"), codec.successor(start.cast("binary")).cast("string").alias("successor"))
+
+
+@query("r AS (SELECT 0::BIGINT AS i, 301::BIGINT AS x UNION ALL SELECT i + 1, x * 16807 % 2147483647 FROM r WHERE i < 2000) SELECT i, x FROM r WHERE i > 0".join([", ", ""]))
+def random_numbers(spark, d):
+    return spark.range(1, 2001).select(F.col("id").alias("i"), codec.random_number(301, F.col("id")).alias("x"))
+
+
+@query(f"SELECT file_no, coalesce(sum(strlen(k) + 8 + coalesce(strlen(v), 0)) FILTER (k < '{_key(5)}'), 0)::BIGINT AS before FROM f1 GROUP BY file_no")
+def file_offset(spark, d):
+    rows, _ = logs.filed(spark, d)
+    return stats.file_offset(rows, _key(5))
+
+
+@query(f"{_DELTAS} SELECT d AS file_no FROM dx WHERE d % 3 <> 0")
+def delta_encode_decode(spark, d):
+    """Deltas as records and back, then replayed."""
+    return manifest.replayed(manifest.decoded(manifest.encoded(_deltas(spark, d)))).select("file_no")
+
+
+from . import tables  # noqa: E402  queries over a table in a folder
+
+QUERIES |= tables.QUERIES
+ORACLES |= {name: f"WITH RECURSIVE {logs.SQL}{sql}" for name, sql in tables.ORACLES.items()}

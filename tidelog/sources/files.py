@@ -33,11 +33,20 @@ class Folder:
         finally:
             stream.close()
 
-    def create(self, name: str, text: str, replace: bool = False) -> None:
-        """Write a small file; without ``replace`` fails if it is there (one of several callers wins)."""
+    def create(self, name: str, text: str, replace: bool = False, sync: bool = False) -> None:
+        """Write a small file; without ``replace`` fails if it is there (one of several callers wins).
+
+        That is atomic on HDFS and POSIX; an object store needs a file system that makes it so.
+        ``sync``: force it to storage.
+        """
+        self.create_bytes(name, text.encode(), replace, sync)
+
+    def create_bytes(self, name: str, data: bytes, replace: bool = False, sync: bool = False) -> None:
         stream = self._fs.create(self._at(name), replace)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(data))
+            if sync:
+                stream.hsync()
         finally:
             stream.close()
 

@@ -14,15 +14,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import compact as compaction
 from ..operators import reads, stats
-from ..operators.batches import Batch, check_ops, group_writers, number
+from ..operators.batches import SLOW_FILES, STOP_FILES, Batch, check_ops, group_writers, number
 from ..operators.resolve import live, merge_runs, resolve
-from ..schema import LEVELS, LOG, Corruption, InvalidArgument
+from ..schema import DELETE, LEVELS, LOG, PUT, Corruption, InvalidArgument
 from .files import Folder
 
 COMPARATOR = "bytewise"
+#: Bytes of entries that an output of a compaction has, about.
+OUTPUT_BYTES = 128 << 20
+#: Seconds for which a lock holds after its owner's last commit.
+LEASE = 3600.0
+
+
+def _facts() -> tuple:
+    return (F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.max("seq").alias("s"), F.sum(stats.encoded_size(F.col("k"), F.col("v"))).alias("size"))
 
 
 class KVTable:
@@ -37,18 +46,16 @@ class KVTable:
     # --- opening and closing
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, create_if_missing: bool = False, error_if_exists: bool = False, comparator: str = COMPARATOR, compression: str = "zstd", bloom: bool = True, paranoid: bool = False) -> "KVTable":
-        table = cls(spark, path, {"comparator": comparator, "compression": compression, "bloom": bloom, "paranoid": paranoid})
+    def open(cls, spark: SparkSession, path: str, create_if_missing: bool = False, error_if_exists: bool = False, comparator: str = COMPARATOR, compression: str = "zstd", bloom: bool = True, paranoid: bool = False, output_bytes: int = OUTPUT_BYTES, lease: float = LEASE) -> "KVTable":
+        """Open for writing. The lock has an owner and ends ``lease`` seconds after its last commit, so a writer that died doesn't hold it for ever."""
+        table = cls(spark, path, {"comparator": comparator, "compression": compression, "bloom": bloom, "paranoid": paranoid, "output_bytes": output_bytes, "lease": lease})
         found = table.folder.exists("CURRENT")
         if not found and not create_if_missing:
-            raise InvalidArgument(f"{path}: does not exist (create_if_missing is false)")
+            raise InvalidArgument(f"{path}: no table here, and none was to be made")
         if found and error_if_exists:
-            raise InvalidArgument(f"{path}: exists (error_if_exists is true)")
+            raise InvalidArgument(f"{path}: there is a table already")
         table.folder.make()
-        try:
-            table.folder.create("LOCK", table.owner)
-        except Exception as e:
-            raise InvalidArgument(f"{path}: another writer holds the lock") from e
+        table._lock()
         try:
             if found:
                 table._recover()
@@ -60,6 +67,21 @@ class KVTable:
             raise
         return table
 
+    def _lock(self) -> None:
+        text = f"{self.owner} {time.time() + self.options['lease']}"
+        try:
+            self.folder.create("LOCK", text)
+        except Exception as e:
+            holder = (self.folder.read("LOCK") if self.folder.exists("LOCK") else "").split()
+            if len(holder) == 2 and float(holder[1]) >= time.time():
+                raise InvalidArgument(f"{self.folder.path}: another writer holds the lock") from e
+            self.folder.replace("LOCK", text)
+        if not self._holds_lock():  # of two that break an old lock the last one has it
+            raise InvalidArgument(f"{self.folder.path}: another writer took the lock")
+
+    def _holds_lock(self) -> bool:
+        return self.folder.exists("LOCK") and self.folder.read("LOCK").split()[:1] == [self.owner]
+
     def _recover(self) -> None:
         """Newest manifest, its runs all present, runs it doesn't name removed."""
         self.state = json.loads(self.folder.read(self.folder.read("CURRENT").strip()))
@@ -68,14 +90,14 @@ class KVTable:
                 raise Corruption(f"manifest without {field}")
         if self.state["comparator"] != self.options["comparator"]:
             raise InvalidArgument(f"comparator {self.options['comparator']} doesn't match {self.state['comparator']}")
-        there = set(self.folder.names("runs"))
+        there = self._runs_there()
         missing = [f["name"] for f in self.state["files"] if f["name"] not in there]
         if missing:
             raise Corruption(f"{len(missing)} missing runs, e.g. {missing[0]}")
         self.collect_garbage()
 
     def close(self) -> None:
-        if self.folder.exists("LOCK") and self.folder.read("LOCK") == self.owner:
+        if self._holds_lock():
             self.folder.delete("LOCK")
 
     def __enter__(self) -> "KVTable":
@@ -97,11 +119,13 @@ class KVTable:
     @staticmethod
     def repair(spark: SparkSession, path: str, comparator: str = COMPARATOR) -> "KVTable":
         """A table from the runs that are there, where the manifest is lost: all at level 0, deletes included."""
-        table = KVTable(spark, path, {"comparator": comparator, "compression": "zstd", "bloom": True, "paranoid": False})
-        table.folder.create("LOCK", table.owner)
+        table = KVTable(spark, path, {"comparator": comparator, "compression": "zstd", "bloom": True, "paranoid": False, "output_bytes": OUTPUT_BYTES, "lease": LEASE})
+        table._lock()
         table.state = {"version": max([int(n.split("-")[1]) for n in table.folder.names() if n.startswith("MANIFEST-") and n[9:].isdigit()], default=0), "last_seq": 0, "next_file": 1, "comparator": comparator, "files": [], "snapshots": {}}
-        for name in sorted(table.folder.names("runs")):
+        for name in sorted(table._runs_there()):
             n = int(name.split(".")[0])
+            if "/" in name:  # an output of a job that made several: numbers start anew
+                n = table.state["next_file"]
             if run := table._describe(n, name, 0):
                 table.state["files"].append(run)
                 table.state["last_seq"] = max(table.state["last_seq"], run["max_seq"])
@@ -111,10 +135,13 @@ class KVTable:
 
     # --- commits
 
-    def _commit(self) -> None:
+    def _commit(self, sync: bool = False) -> None:
+        if not self._holds_lock():
+            raise InvalidArgument(f"{self.folder.path}: the lock has gone to another writer")
+        self.folder.create("LOCK", f"{self.owner} {time.time() + self.options['lease']}", replace=True)
         self.state["version"] += 1
         name = f"MANIFEST-{self.state['version']:06d}"
-        self.folder.create(name, json.dumps(self.state), replace=True)
+        self.folder.create(name, json.dumps(self.state), replace=True, sync=sync)
         self.folder.replace("CURRENT", name)
 
     def _guard(self, work):
@@ -147,12 +174,38 @@ class KVTable:
             self.history.append({"level": level, "seconds": time.time() - began, "read": read, "written": run["file_size"]})
         return run
 
+    def _runs_there(self) -> set[str]:
+        """Names of the runs in the folder; a job of several outputs has a folder of its own."""
+        out = set()
+        for name in self.folder.names("runs"):
+            parts = [n for n in self.folder.names(f"runs/{name}") if n.startswith("out=")]
+            out |= {f"{name}/{n}" for n in parts} or {name}
+        return out
+
+    def _write_runs(self, rows: DataFrame, level: int, read: int, outputs: int) -> list[dict]:
+        """Sorted runs of rows in ranges of keys, about ``outputs`` of them; no key is in two."""
+        if outputs <= 1:
+            run = self._write_run(rows, level, read)
+            return [run] if run else []
+        n = self.state["next_file"]
+        job, began = f"{n:06d}.run", time.time()
+        path = f"{self.folder.path}/runs/{job}"
+        cut = rows.repartitionByRange(outputs, "k").withColumn("out", F.spark_partition_id()).sortWithinPartitions("out", "k", F.desc("seq"), F.desc("op"))
+        writer = cut.write.option("compression", self.options["compression"]).partitionBy("out")
+        (writer.option("parquet.bloom.filter.enabled#k", "true") if self.options["bloom"] else writer).parquet(path)
+        found = self.spark.read.schema(T.StructType([*LOG.fields, T.StructField("out", T.IntegerType())])).parquet(path).groupBy("out").agg(*_facts()).orderBy("out").collect()  # a row for each output
+        runs = [self._entry(s, n + i, f"{job}/out={s['out']}", level) for i, s in enumerate(found)]
+        self.state["next_file"] = n + max(1, len(runs))
+        self.history.append({"level": level, "seconds": time.time() - began, "read": read, "written": sum(r["file_size"] for r in runs)})
+        return runs
+
+    def _entry(self, s, n: int, name: str, level: int) -> dict:
+        return {"level": level, "file_no": n, "name": name, "entries": s["n"], "file_size": s["size"], "stored": self.folder.size(f"runs/{name}"), "smallest": bytes(s["a"]).hex(), "largest": bytes(s["b"]).hex(), "max_seq": s["s"]}
+
     def _describe(self, n: int, name: str, level: int) -> dict | None:
         """A run's entry for the manifest, from its rows; None if it has none."""
-        s = self.spark.read.schema(LOG).parquet(f"{self.folder.path}/runs/{name}").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.max("seq").alias("s"), F.sum(stats.encoded_size(F.col("k"), F.col("v"))).alias("size")).first()
-        if not s["n"]:
-            return None
-        return {"level": level, "file_no": n, "name": name, "entries": s["n"], "file_size": s["size"], "stored": self.folder.size(f"runs/{name}"), "smallest": bytes(s["a"]).hex(), "largest": bytes(s["b"]).hex(), "max_seq": s["s"]}
+        s = self.spark.read.schema(LOG).parquet(f"{self.folder.path}/runs/{name}").agg(*_facts()).first()
+        return self._entry(s, n, name, level) if s["n"] else None
 
     def files(self) -> DataFrame:
         """The manifest's runs, keys as binary."""
@@ -170,16 +223,29 @@ class KVTable:
 
     # --- writes
 
-    def put(self, k: bytes, v: bytes) -> int:
-        return self.write(Batch().put(k, v))
+    def put(self, k: bytes, v: bytes, sync: bool = False) -> int:
+        return self.write(Batch().put(k, v), sync)
 
-    def delete(self, k: bytes) -> int:
-        return self.write(Batch().delete(k))
+    def delete(self, k: bytes, sync: bool = False) -> int:
+        return self.write(Batch().delete(k), sync)
 
-    def write(self, batch: Batch | DataFrame) -> int:
-        """Apply a batch, or rows (batch_id, pos, op, k, v), as one commit; the last sequence."""
+    def _admit(self) -> None:
+        """Hold a writer back while too many level-0 runs wait for compaction."""
+        level0 = lambda: sum(f["level"] == 0 for f in self.state["files"])
+        if level0() >= SLOW_FILES:
+            time.sleep(0.001)
+        while level0() >= STOP_FILES and self.maintain():
+            pass
+
+    def write(self, batch: Batch | DataFrame, sync: bool = False, stream_batch: int | None = None) -> int:
+        """Apply a batch, or rows (batch_id, pos, op, k, v), as one commit; the last sequence.
+
+        ``sync``: the manifest is forced to storage before this returns. ``stream_batch``
+        is remembered with the rows, or alone if there are none.
+        """
 
         def work() -> int:
+            self._admit()
             base = self.state["last_seq"] + 1
             if isinstance(batch, Batch):
                 if not batch.ops:
@@ -187,6 +253,9 @@ class KVTable:
                 check_ops(batch.ops)
                 rows = batch.rows(self.spark, base)
             else:
+                bad = batch.where(~F.coalesce(F.col("op").isin(DELETE, PUT) & F.col("k").isNotNull() & (F.col("v").isNull() == (F.col("op") == DELETE)), F.lit(False)))
+                if bad.limit(1).count():
+                    raise Corruption("rows that are neither a put with a value nor a delete without one")
                 rows = number(batch, base).select(F.col("k").cast("binary").alias("k"), "seq", F.col("op").cast("byte").alias("op"), F.col("v").cast("binary").alias("v"))
             run = self._write_run(rows, 0)
             if run:
@@ -194,7 +263,10 @@ class KVTable:
                 run["level"] = level
                 self.state["files"].append(run)
                 self.state["last_seq"] = max(self.state["last_seq"], run["max_seq"])
-                self._commit()
+            if stream_batch is not None:
+                self.state["stream_batch"] = stream_batch
+            if run or stream_batch is not None:
+                self._commit(sync)
             return self.state["last_seq"]
 
         return self._guard(work)
@@ -210,7 +282,7 @@ class KVTable:
             for i in group:
                 together.append(writers[i][0])
                 out.append(at + len(together))
-            self.write(together)
+            self.write(together, any(writers[i][1] for i in group))
         return out
 
     # --- snapshots
@@ -274,39 +346,60 @@ class KVTable:
         inputs = [f for f in files if f["level"] == level and meets(f)]
         if not inputs:
             return
-        while True:  # all of the two levels that the inputs' range reaches, to a fixed point
-            low, high = min(f["smallest"] for f in inputs), max(f["largest"] for f in inputs)
-            grown = [f for f in files if f["level"] in (level, level + 1) and f["smallest"] <= high and f["largest"] >= low]
-            if len(grown) == len(inputs):
-                break
-            inputs = grown
+        touching = lambda at, of: [f for f in files if f["level"] == at and f["smallest"] <= max(x["largest"] for x in of) and f["largest"] >= min(x["smallest"] for x in of)]
+
+        def closed(some: list[dict]) -> list[dict]:
+            """Level 0 overlaps: all its runs that the range reaches, to a fixed point. Deeper levels don't."""
+            while level == 0 and len(grown := touching(0, some)) > len(some):
+                some = grown
+            return some
+
+        inputs = closed(inputs)
+        lower = touching(level + 1, inputs)
+        if lower:  # more of the upper level, where that takes no more of the lower one
+            more = closed(touching(level, inputs + lower))
+            if len(touching(level + 1, more)) == len(lower):
+                inputs = more
+        upper = inputs
+        inputs = inputs + lower
+        low, high = min(f["smallest"] for f in inputs), max(f["largest"] for f in inputs)
         taken = {f["file_no"] for f in inputs}
         deeper = [f for f in files if f["level"] >= level + 2]
         below = sum(f["file_size"] for f in deeper if f["level"] == level + 2 and f["smallest"] <= high and f["largest"] >= low)
         if compaction.is_trivial_move(len(inputs), sum(f["level"] == level + 1 for f in inputs), below):
             inputs[0]["level"] = level + 1
+            self.state.setdefault("pointers", {})[str(level)] = upper[0]["largest"]
             self._commit()
             return
         ranges = self.spark.createDataFrame([(bytearray.fromhex(f["smallest"]), bytearray.fromhex(f["largest"])) for f in deeper], "smallest binary, largest binary") if deeper else None
         oldest = self.oldest()
-        run = self._write_run(compaction.compact(self._scan(inputs), oldest, ranges), level + 1, sum(f["file_size"] for f in inputs))
-        self.state["files"] = [f for f in files if f["file_no"] not in taken] + ([run] if run else [])
+        size, most = sum(f["file_size"] for f in inputs), self.options["output_bytes"]
+        # an output has about ``most`` bytes, and overlaps about as much of the level below as one may
+        outputs = max(-(-size // most), -(-below // (compaction.GRANDPARENT_OUTPUTS * most)))
+        runs = self._write_runs(compaction.compact(self._scan(inputs), oldest, ranges), level + 1, size, outputs)
+        self.state["files"] = [f for f in files if f["file_no"] not in taken] + runs
+        self.state.setdefault("pointers", {})[str(level)] = max(f["largest"] for f in upper)
         self.state["compacted_to"] = max(self.state.get("compacted_to", 0), oldest)
         self._commit()
         self.collect_garbage()
 
     def maintain(self) -> bool:
         """One compaction if a level is due."""
-        due = compaction.scores(self.files()).where("score >= 1").orderBy(F.desc("score"), "level").first() if self.state["files"] else None
-        if due is None or due["level"] >= LEVELS - 1:
+        if not self.state["files"]:
+            return False
+        pointers = [(int(n), bytearray.fromhex(k)) for n, k in self.state.get("pointers", {}).items()]
+        chosen = compaction.candidate(self.files(), self.spark.createDataFrame(pointers, "level long, pointer binary")).first()
+        if chosen is None:
             return False
-        self._guard(lambda: self._merge(due["level"], lambda f: True))
+        self._guard(lambda: self._merge(chosen["level"], lambda f: f["file_no"] == chosen["file_no"]))
         return True
 
     def collect_garbage(self) -> list[str]:
         """Remove runs and manifests that the current manifest doesn't need; their names."""
         live_runs = {f["name"] for f in self.state["files"]}
-        gone = [f"runs/{n}" for n in self.folder.names("runs") if n not in live_runs]
+        gone = [f"runs/{n}" for n in self._runs_there() if n not in live_runs]
+        jobs = {n.split("/")[0] for n in live_runs}
+        gone += [f"runs/{n}" for n in self.folder.names("runs") if n not in jobs and f"runs/{n}" not in gone]
         current = self.folder.read("CURRENT").strip()
         gone += [n for n in self.folder.names() if (n.startswith("MANIFEST-") and n != current) or n.endswith(".dbtmp")]
         for name in gone:

@@ -22,8 +22,7 @@ def into_table(stream: DataFrame, table: KVTable, checkpoint: str, trigger: dict
     def apply(rows: DataFrame, batch: int) -> None:
         if batch <= table.state.get("stream_batch", -1):
             return
-        table.state["stream_batch"] = batch  # committed with the rows
-        table.write(rows)
+        table.write(rows, stream_batch=batch)  # one commit
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
