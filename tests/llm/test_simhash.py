@@ -97,9 +97,9 @@ def family(seed, n, size=120):
     return out
 
 
-@pytest.mark.parametrize("per_hub", [1000, 2])
-def test_similar_groups_equal_all_pairs(spark, monkeypatch, per_hub):
-    monkeypatch.setattr(simhash, "NODES_OF_HUB", per_hub)
+@pytest.mark.parametrize("block", [64 << 20, 5000])
+def test_similar_groups_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
     rows = list(TEXTS)
     for seed in (31, 32, 33):
         rows += [(1000 * seed + i, t, "en", "a") for i, t in enumerate(family(seed, 14))]
@@ -114,7 +114,7 @@ def test_similar_groups_equal_all_pairs(spark, monkeypatch, per_hub):
 
 
 def test_many_texts_of_one_template(spark):
-    """None is like another, all meet: hubs of later rounds compare the rest."""
+    """None is like another but two, all meet."""
     shared = prose(70, 150)
     rows = [(i, f"{shared} {prose(100 + i, 45)}", "en", "a") for i in range(40)] + [(100, f"{shared} {prose(139, 45)} end", "en", "a")]
     roots = [r["root"] for r in simhash.similar_groups(docs(spark, rows)).collect()]

@@ -18,15 +18,14 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, drop, durable, small_batches
 from .components import components
@@ -42,8 +41,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5
 #: Bits in which fingerprints of sets of that similarity differ at most; noisy for sets of fewer shingles.
 FAR, FEW_SHINGLES = 24, 24
-#: Nodes that meet a copy of their hub's set.
-NODES_OF_HUB = 1000
+#: Bytes of shingle sets that one task compares at a time.
+BLOCK_BYTES = 64 << 20
 _mix = np.random.default_rng(3)
 FACTORS, MASKS = _mix.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1), _mix.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64)
 #: Buckets up to this size are compared by neighbours at each distance in sort order.
@@ -138,40 +137,53 @@ def small_links(bucket: np.ndarray, fps: np.ndarray, refs: np.ndarray, apart: in
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
-def large_links(fps: np.ndarray, refs: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one large bucket."""
-    table = pivot_table(fps, refs)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    first = table[:, 0].astype(np.int64)
-    part = np.full(len(fps), -1)
-    us, vs = [], []
+def forest_of(n: int, order: Iterable[int], around) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of a spanning forest of the links within one bucket of n rows.
 
-    def around(i: int) -> np.ndarray:
-        a, b = np.searchsorted(first, [first[i] - apart, first[i] + apart + 1])
-        return a + np.flatnonzero(near(table, fps, np.arange(a, b), i, apart))
+    ``around(i)`` gives the rows linked to row i. A few rows cover the bucket, in the given
+    order; then only rows outside the largest part are asked for links to other parts.
+    """
+    part, asked = np.full(n, -1), np.zeros(n, bool)
+    us, vs = [np.zeros(0, int)], [np.zeros(0, int)]
 
-    def join(i: int, found: np.ndarray) -> None:
-        """All of found belongs to i's part; one link for each row or part that is new to it."""
+    def join(i: int) -> None:
+        """All rows around i belong to its part; one link for each row or part that is new to it."""
+        asked[i] = True
+        found = around(i)
         own = found[(part[found] != part[i])]
         _, one = np.unique(np.where(part[own] < 0, -2 - own, part[own]), return_index=True)
-        us.append(np.full(len(one), fps[i]))
-        vs.append(fps[own[one]])
+        us.append(np.full(len(one), i))
+        vs.append(own[one])
         parts = np.unique(part[own])
         for p in parts[parts >= 0]:
             part[part == p] = part[i]
         part[own] = part[i]
 
-    for i in range(len(fps)):  # cover the bucket from a few members
+    for i in order:
         if part[i] < 0:
             part[i] = i
-            join(i, around(i))
+            join(i)
     ids, sizes = np.unique(part, return_counts=True)
-    for i in np.flatnonzero(part != ids[sizes.argmax()]):  # links between parts start outside the largest
-        join(i, around(i))
+    for i in np.flatnonzero((part != ids[sizes.argmax()]) & ~asked):
+        join(i)
     return np.concatenate(us), np.concatenate(vs)
 
 
+def large_links(fps: np.ndarray, refs: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within one large bucket."""
+    table = pivot_table(fps, refs)
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
+    first = table[:, 0].astype(np.int64)
+
+    def around(i: int) -> np.ndarray:
+        a, b = np.searchsorted(first, [first[i] - apart, first[i] + apart + 1])
+        return a + np.flatnonzero(near(table, fps, np.arange(a, b), i, apart))
+
+    u, v = forest_of(len(fps), range(len(fps)), around)
+    return fps[u], fps[v]
+
+
 def _links(apart: int, n_pivots: int):
     refs = pivots(n_pivots)
 
@@ -293,59 +305,71 @@ def _sets(width: int):
     return run
 
 
-def _may_be_alike(a: str, b: str, size: str, apart: int) -> Column:
-    """Fingerprints within ``apart`` bits, first by their largest difference of distances to pivots; small sets always."""
-    refs = [F.lit(int(x)) for x in pivots().view(np.int64)]
-    to = lambda c, p: F.bit_count(F.col(c).bitwiseXOR(p))
-    coordinate = F.greatest(*[F.abs(to(a, p) - to(b, p)) for p in refs]) <= apart
-    return (F.col(size) < FEW_SHINGLES) | (coordinate & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= apart))
+def similar_forest(fps: np.ndarray, sets: list[np.ndarray], similarity: float, refs: np.ndarray, apart: int = FAR) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the pairs of sets with that Jaccard similarity.
+
+    Distances to the pivots discard, then fingerprints, then the whole sets are compared.
+    Sets whose shingles are common in the bucket come first: what others were copied from.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(size) - size
+    kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+    table, mine = pivot_table(fps, refs), np.zeros(len(kinds), bool)
+    rows = np.arange(len(sets))
+
+    def around(i: int) -> np.ndarray:
+        may = np.flatnonzero(near(table, fps, rows, i, apart) | (size < FEW_SHINGLES))
+        mine[at[starts[i] : starts[i] + size[i]]] = True
+        whole = np.concatenate([at[starts[j] : starts[j] + size[j]] for j in may.tolist()]) if len(may) < len(rows) else at
+        shared = np.add.reduceat(mine[whole].astype(np.int64), np.cumsum(size[may]) - size[may])
+        mine[:] = False
+        return may[shared + 1e-9 >= similarity * (size[may] + size[i] - shared)]
+
+    common = np.add.reduceat(np.bincount(at)[at], starts) / size
+    return forest_of(len(sets), np.argsort(-common, kind="stable").tolist(), around)
+
 
+def _similar(similarity: float):
+    refs = pivots()
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (hub, node) pairs whose sets have that Jaccard similarity; a hub of many nodes is read in several tasks."""
-    asked = pairs.groupBy("hub").agg(F.floor(F.count("*") / NODES_OF_HUB).cast("int").alias("splits"))
-    hubs = asked.join(sets, asked.hub == sets.node).select("hub", F.explode(F.sequence(F.lit(0), "splits")).alias("split"), F.col("shingles").alias("hub_shingles"))
-    met = pairs.join(asked, "hub").withColumn("split", F.pmod("node", F.col("splits") + 1).cast("int")).join(sets, "node").join(hubs, ["hub", "split"])
-    shared = F.size(F.array_intersect("shingles", "hub_shingles"))
-    alike = shared >= F.lit(similarity) * (F.size("shingles") + F.size("hub_shingles") - shared)
-    return met.where(alike).select("hub", "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                u, v = similar_forest(np.array([r[3] for r in rows], np.int64).view(np.uint64), [r[4] for r in rows], similarity, refs)
+                nodes = np.array([r[2] for r in rows], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], ["u", "v"])
 
+        held: list[tuple] = []
+        for batch in batches:
+            flat, ends = batch.column(4).flatten().to_numpy(), batch.column(4).offsets.to_numpy()
+            ends = ends - ends[0]
+            sets = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), sets):
+                if held and row[:2] != held[0][:2]:
+                    yield from out(held)
+                    held = []
+                held.append(row)
+        yield from out(held)
+
+    return run
 
-def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, apart: int = FAR) -> DataFrame:
+
+def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_BYTES) -> DataFrame:
     """Links (u, v) that connect all nodes (node, size, fp, bands) that meet in a band and are alike.
 
-    In each bucket a hub, the member that meets the most others, is compared with all
-    members. Members that aren't like it become hubs in later rounds, eight times as many
-    each round; members already linked are only compared with those.
+    A bucket is worked on with the sets of its nodes, and yields a forest, never all its
+    pairs. One too large for a task is dealt in parts by node; each two parts meet in a task.
     """
-    spark = nodes.sparkSession
     dealt = nodes.select("node", "size", "fp", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = durable(dealt.join(shared, "key"))
-    central = members.groupBy("node").agg(F.sum("members").alias("central"))
-    loose = durable(members.join(central, "node").select("key", "node", "fp", "central", "members"))
-    found, done, hubs_a_round = [], None, 1
-    while True:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "node"))
-        hubs = durable(loose.withColumn("rank", rank).where(F.col("rank") <= hubs_a_round).select("key", F.col("node").alias("hub"), F.col("fp").alias("hub_fp")))
-        pairs = members.join(hubs, "key").where(F.col("node") != F.col("hub")).where(_may_be_alike("fp", "hub_fp", "size", apart)).select("hub", "node").distinct()
-        pairs = pairs if done is None else pairs.join(done, ["hub", "node"], "left_anti")
-        pairs = durable(pairs)
-        done = pairs if done is None else done.union(pairs)
-        found.append(durable(_verified(pairs, sets, similarity)))
-        linked = hubs.join(found[-1], "hub").select("key", "node")
-        rest = loose.join(hubs.select("key", F.col("hub").alias("node")).union(linked), ["key", "node"], "left_anti")
-        spent = hubs.groupBy("key").agg(F.count("*").alias("spent"))
-        # a bucket whose members but one have all been hubs has no pair left
-        rest = rest.join(spent, "key", "left").withColumn("members", F.col("members") - F.coalesce("spent", F.lit(0))).where("members > 1").drop("spent")
-        loose = durable(rest)
-        if not loose.limit(1).count():
-            break
-        hubs_a_round *= 8
-    links = spark.createDataFrame([], "u long, v long")
-    for part in found:
-        links = links.union(part.select(F.col("hub").alias("u"), F.col("node").alias("v")))
-    return links
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.sum("size") * 8 / block).cast("int").alias("parts")).where("n > 1").select("key", "parts")
+    members = dealt.join(shared, "key").select("key", "node", "fp", "parts")
+    own = F.pmod("node", F.col("parts")).cast("int")
+    # the pairs of parts that have this node's; with one part, the pair (0, 0)
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (F.col("parts") == 1) | (o != F.col("own")))
+    pair = lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own"))
+    members = members.withColumn("own", own).withColumn("pair", F.explode(F.transform(others, pair))).select("key", "pair", "node", "fp")
+    met = members.join(sets, "node").select("key", "pair", "node", "fp", "shingles").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    return met.mapInArrow(_similar(similarity), "u long, v long")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -368,9 +392,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARI
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).join(wanted, "text_hash")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = durable(texts.mapInArrow(_sets(width), "node long, shingles array<long>"))
-    small_batches(spark, 20_000)
-    roots = components(similar_links(nodes, sets, similarity)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    small_batches(spark)
+    roots = components(similar_links(nodes, sets, similarity, BLOCK_BYTES)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = durable(roots)
     drop(sets)
     return marked.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
