@@ -92,7 +92,10 @@ def test_images_are_decoded():
         part = lambda k, d: len(d).to_bytes(4, "big") + k + d + b"\0" * 4
         png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (8).to_bytes(4, "big") + (6).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
         assert (image_copies.decode(png) == image).all(), kind
-    for bad in (None, b"", b"P5", b"P5 9 9 255\n", b"\x89PNG\r\n\x1a\n", b"GIF89a"):
+    palette = png[:25] + bytes([3]) + png[26:]
+    bomb = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (8).to_bytes(4, "big") + (6).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(bytes(1 << 24)))
+    assert image_copies.decode(bomb).shape == (6, 8)  # only as much as the header says
+    for bad in (None, b"", b"P5", b"P5 9 9 255\n", b"P5 0 9 255\n", b"P5 0 0 255\n", palette, b"P5 999999 999999 255\n", b"\x89PNG\r\n\x1a\n", b"GIF89a"):
         assert image_copies.decode(bad) is None
 
 
@@ -103,8 +106,11 @@ def test_edited_copies_are_found(spark):
     images = image_copies.media(df)
     queries = image_copies.media(df.where("vec_id % 100 = 0"), edit=True)
     extra = images.union(spark.createDataFrame([(9000, None), (9001, bytearray(b"junk")), (9002, bytearray(image_copies.pgm(np.zeros((64, 64)))))], "image_id long, image binary"))
-    got = {(r["query_id"], r["match_id"]) for r in image_copies.find_copies(queries, extra).collect()}
+    rows = image_copies.find_copies(queries, extra.union(images.where("image_id = 300").selectExpr("image_id + 7000", "image"))).collect()
+    got = {(r["query_id"], r["match_id"]) for r in rows if r["query_id"] is not None}
     want = {(i, i) for i in range(0, 1200, 100)}
+    assert {r["member_id"] for r in rows if r["match_id"] == 300 and r["query_id"] is None} == {300, 7300}
+    assert all(r["copies"] == 1 + (r["match_id"] == 300) for r in rows)
     assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 2
     none = spark.createDataFrame([], "image_id long, image binary")
     assert image_copies.find_copies(none, none).count() == 0
@@ -123,13 +129,37 @@ def turned(image, degrees):
     return np.where(inside, out, 128)
 
 
+EDITS = {
+    "turned by 17": lambda d: turned(d, 17), "turned by 37": lambda d: turned(d, 37), "turned by 180": lambda d: np.rot90(d, 2),
+    "cropped to half": lambda d: d[24:72, 30:78], "resized by 0.5": lambda d: image_copies.resized(d, 0.5), "resized by 0.6": lambda d: image_copies.resized(d, 0.6), "resized by 0.87": lambda d: image_copies.resized(d, 0.87),
+    "resized by 1.5": lambda d: image_copies.resized(d, 1.5), "resized by 2.3": lambda d: image_copies.resized(d, 2.3), "resized by 1.3, darker": lambda d: image_copies.resized(d * 0.7, 1.3),
+}
+
+
 def test_edits_between_the_steps_of_the_pyramid_are_found(spark):
     drawings = [image_copies.drawn([float(i), 1.0]) for i in range(60)]
     images = spark.createDataFrame([(i, bytearray(image_copies.pgm(d))) for i, d in enumerate(drawings)], "image_id long, image binary").repartition(4)
-    edits = [lambda d: turned(d, 17), lambda d: turned(d, 37), lambda d: image_copies.resized(d, 0.87), lambda d: image_copies.resized(d, 1.3)]
-    asked = [(1000 * k + i, bytearray(image_copies.pgm(edit(drawings[i])))) for k, edit in enumerate(edits) for i in range(0, 60, 2)]
+    asked = [(1000 * k + i, bytearray(image_copies.pgm(edit(drawings[i])))) for k, edit in enumerate(EDITS.values()) for i in range(0, 60, 2)]
     queries = spark.createDataFrame(asked, "image_id long, image binary").repartition(4)
-    got = {(r["query_id"], r["match_id"]) for r in image_copies.find_copies(queries, images).collect()}
-    for k in range(len(edits)):
-        assert len({(1000 * k + i, i) for i in range(0, 60, 2)} & got) >= 28, k
+    got = {(r["query_id"], r["match_id"]) for r in image_copies.find_copies(queries, images).collect() if r["query_id"] is not None}
+    found = {name: len({(1000 * k + i, i) for i in range(0, 60, 2)} & got) for k, name in enumerate(EDITS)}
+    assert all(n >= 27 for n in found.values()), found
     assert sum(q % 1000 != m for q, m in got) <= 2
+
+
+def test_matching_corners_equal_brute_force(spark):
+    """All corners of a query at a distance within the radius whose keys are one bit away at most, by comparing all."""
+    drawings = [image_copies.drawn([float(i), 2.0]) for i in range(8)]
+    table = lambda rows: spark.createDataFrame([(i, bytearray(image_copies.pgm(d))) for i, d in rows], "image_id long, image binary")
+    index = image_copies.distinct_images(image_copies.corners(table(enumerate(drawings))))
+    queries = image_copies.distinct_images(image_copies.corners(table([(100, image_copies.resized(drawings[3], 0.8))])))
+    got = {(r["image_id"], r["q_place"], r["place"]) for r in image_copies.matches(queries, index, agree=1).collect()}
+    width, q, want = image_copies.key_width(index), queries.first(), set()
+    for r in index.collect():
+        for a, b, p in zip(q["d0"], q["d1"], q["place"]):
+            for c, d, o in zip(r["d0"], r["d1"], r["place"]):
+                x, y = (a ^ c) % 2**64, (b ^ d) % 2**64
+                key = min((x & m % 2**64).bit_count() + (y & n % 2**64).bit_count() for m, n in image_copies.masks(width))
+                if key <= 1 and x.bit_count() + y.bit_count() <= image_copies.APART:
+                    want.add((r["image_id"], p, o))
+    assert got == want and len(want) > 20
