@@ -1,10 +1,14 @@
 import hashlib
+from collections import Counter
 
-from cases import TEXTS, docs, empty
+import numpy as np
+from cases import TEXTS, docs, empty, in_sql, unique
 from test_simhash import similar
+from test_text import brute_values
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from tidelog.llm import language_id, mixing, pii
 from tidelog.llm.common import durable
 
 
@@ -35,3 +39,42 @@ def test_registered(spark):
     assert "pipeline" in names and {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)}
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "simhash", "pii", "mixing", "bpe"]
     assert names["pipeline"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_language_stage_equals_a_plain_prediction(spark):
+    d = docs(spark, TEXTS)
+    model = language_id.fit(d)
+    lead = {}
+    for _, t, *_ in TEXTS:
+        if t and any(map(str.isalpha, t)):
+            s = np.sort(brute_values(model, t.encode()))
+            lead[t] = s[-1] - s[-2]
+    want = sorted(t for _, t, *_ in TEXTS if t in lead and lead[t] >= pipeline.LEAST_MARGIN)
+    assert all(abs(x - pipeline.LEAST_MARGIN) > 1e-4 for x in lead.values())
+    assert sorted(r["text"] for r in pipeline.identify(spark, d, "").collect()) == want
+
+
+def test_redaction_stage_equals_masks_of_spans(spark):
+    d = docs(spark, TEXTS)
+    spans = {r["text"]: r["spans"] for r in pii.with_spans(d).select("text", "spans").collect()}
+
+    def masked(t):
+        out, at = "", 0
+        for start, no, end, _ in sorted(spans[t]):
+            if start >= at:
+                out += t[at:start] + f"[{pii.KINDS[no].upper()}]"
+            at = max(at, end)
+        return out + t[at:]
+
+    got = sorted(r["text"] or "" for r in pipeline.redact(spark, d, "").collect())
+    assert got == sorted(masked(t) if t else "" for _, t, *_ in TEXTS)
+
+
+def test_mixing_stage_equals_its_sql(spark):
+    d = docs(spark, unique())
+    want = Counter()
+    for r in in_sql(d, mixing.ORACLES["op5_mixing"]).fetchall():
+        doc_id, _, size, *_, taken = r
+        if taken > 0:
+            want[doc_id] += -(-taken // size)
+    assert Counter(r["doc_id"] for r in pipeline.mix(spark, d, "").collect()) == want

@@ -7,6 +7,7 @@ import pytest
 from cases import TEXTS, docs, empty
 
 from tidelog.llm import image_copies, suffix_repeats
+from tidelog.llm.common import durable
 from tidelog.llm.suffix_repeats import LENGTH, Repeats
 
 
@@ -151,9 +152,14 @@ def test_matching_corners_equal_brute_force(spark):
     """All corners of a query at a distance within the radius whose keys are one bit away at most, by comparing all."""
     drawings = [image_copies.drawn([float(i), 2.0]) for i in range(8)]
     table = lambda rows: spark.createDataFrame([(i, bytearray(image_copies.pgm(d))) for i, d in rows], "image_id long, image binary")
-    index = image_copies.distinct_images(image_copies.corners(table(enumerate(drawings))))
-    queries = image_copies.distinct_images(image_copies.corners(table([(100, image_copies.resized(drawings[3], 0.8))])))
-    got = {(r["image_id"], r["q_place"], r["place"]) for r in image_copies.matches(queries, index, agree=1).collect()}
+    found = lambda rows: durable(image_copies.distinct_images(image_copies.corners(table(rows))))  # noqa: E731  drawn once: sums of floats may differ
+    index, queries = found(enumerate(drawings)), found([(100, image_copies.resized(drawings[3], 0.8))])
+    got = set()
+    for r in image_copies.met_pairs(queries, index, agree=1).collect():
+        longs = {c: np.array(r[c], np.int64) for c in ("q_no", "no", "q_d0", "q_d1", "d0", "d1", "q_place", "place")}
+        a, b = longs["q_no"], longs["no"]
+        ok = image_copies.verified(longs["q_d0"][a], longs["q_d1"][a], longs["d0"][b], longs["d1"][b])
+        got |= {(r["image_id"], p, o) for p, o in zip(longs["q_place"][a[ok]].tolist(), longs["place"][b[ok]].tolist())}
     width, q, want = image_copies.key_width(index), queries.first(), set()
     for r in index.collect():
         for a, b, p in zip(q["d0"], q["d1"], q["place"]):
@@ -163,3 +169,24 @@ def test_matching_corners_equal_brute_force(spark):
                 if key <= 1 and x.bit_count() + y.bit_count() <= image_copies.APART:
                     want.add((r["image_id"], p, o))
     assert got == want and len(want) > 20
+
+
+def test_votes_equal_a_plain_count():
+    image = image_copies.drawn([4.0])
+    q, r = image_copies.describe(image_copies.resized(image, 0.8)), image_copies.describe(image)
+    pack = lambda d: np.rint(d[0] * 4).astype(np.int64) + image_copies.ZERO << 40 | np.rint(d[1] * 4).astype(np.int64) + image_copies.ZERO << 20 | np.rint(d[3] % (2 * np.pi) * 1024).astype(np.int64) << 6 | d[2].astype(np.int64)
+    qp, rp = pack(q), pack(r)
+    a, b = np.nonzero((q[4][:, None] != r[4][None]).sum(2) <= image_copies.APART)
+    votes = {}
+    for i, j in zip(a.tolist(), b.tolist()):
+        (qx, qy, qa, ql), (x, y, an, le) = ([float(v) for v in image_copies.unpacked(np.array([p]))] for p in (qp[i], rp[j]))
+        turn, ls = (an - qa) % (2 * np.pi), (le - ql) * -np.log2(image_copies.STEP)
+        dx, dy = x - 2**ls * (np.cos(turn) * qx - np.sin(turn) * qy), y - 2**ls * (np.sin(turn) * qx + np.cos(turn) * qy)
+        w = max(image_copies.SHIFT, image_copies.SHARE * 77 * 2 ** (np.floor(ls / 0.6 + 0.5) * 0.6))
+        low = [int(np.floor(v - 0.5)) for v in (turn * 6 / np.pi, ls / 0.6, dx / w, dy / w)]
+        spot = max(image_copies.SHIFT, image_copies.SHARE * 77)
+        for k in range(16):
+            at = [v + (k >> n & 1) for n, v in enumerate(low)]
+            votes.setdefault((at[0] % 12, *at[1:]), set()).add((i, (int(qx // spot), int(qy // spot))))
+    want = max(len({i for i, _ in v}) if len({s for _, s in v}) >= image_copies.PLACES else 0 for v in votes.values())
+    assert image_copies.agreeing(77, a, qp[a], rp[b]) == want > 20

@@ -35,6 +35,33 @@ def test_language_of_awkward_rows(spark):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def brute_values(model, text):
+    """Regression values of each language, from sets of n-grams."""
+
+    def slots(t):
+        out, base = set(t), 256
+        for n, width in zip((2, 3, 4), language_id.SLOTS[1:]):
+            bits = width.bit_length() - 1
+            out |= {base + ((int.from_bytes(t[i : i + n], "big") * 2654435761) % 2**32 >> (32 - bits)) for i in range(len(t) - n + 1)}
+            base += width
+        return out
+
+    own = slots(text.translate(language_id.FOLD))
+    marks = [set(np.flatnonzero(r[: language_id.WIDTH]).tolist()) for r in np.unpackbits(model.landmarks, axis=1)]
+    kernel = [len(own & m) / np.sqrt(len(own) * len(m)) for m in marks]
+    return np.array(kernel) @ model.weights + model.offset
+
+
+def test_predictions_equal_plain_kernels(spark):
+    model = language_id.fit(docs(spark))
+    texts = [t.encode() for _, t, *_ in TEXTS if t]
+    best, score, margin = model.predict(texts)
+    for t, b, s, m in zip(texts, best, score, margin):
+        values = brute_values(model, t)
+        e = np.exp(language_id.SHARPNESS * (values - values.max()))
+        assert values[b] >= values.max() - 1e-4 and abs(s - e.max() / e.sum()) < 1e-3 and abs(m - np.diff(np.sort(values))[-1]) < 1e-3
+
+
 # --- PII
 
 

@@ -9,8 +9,9 @@ Pieces up to ``WIDE`` bytes are merged many at a time: one numpy row holds the t
 of one piece. Longer pieces use the same tree one by one, so a text of one endless
 word takes n log n. Encoded pieces are kept in a table of bounded size.
 
-Null and empty texts have no tokens. Repeated rows are encoded alike; extra columns
-are ignored unless named in ``keep``.
+Null and empty texts have no tokens. Repeated rows are encoded alike; an empty table
+gives an empty result; extra columns are ignored unless named in ``keep``. Of equal
+ranks the leftmost pair is merged.
 """
 
 from __future__ import annotations

@@ -13,7 +13,11 @@ are compared after that.
 
 A text without words has fingerprint zero and is linked like any other. A null text
 counts as empty. Repeated rows get the same fingerprint and component. Extra columns
-are ignored; an empty table gives an empty result.
+are ignored; an empty table gives an empty result. Very long texts are hashed
+``AT_ONCE`` shingles at a time.
+
+``similar_groups`` finds near duplicates by the similarity of whole shingle sets instead:
+see there how far fingerprints go.
 """
 
 from __future__ import annotations
@@ -358,10 +362,15 @@ def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILAR
     """Links (u, v) that connect all nodes (node, size, fp, bands) that meet in a band and are alike.
 
     A bucket is worked on with the sets of its nodes, and yields a forest, never all its
-    pairs. One too large for a task is dealt in parts by node; each two parts meet in a task.
+    pairs. Buckets of the same nodes, which near copies share many of, are worked on once.
+    One too large for a task is dealt in parts by node; each two parts meet in a task.
     """
     dealt = nodes.select("node", "size", "fp", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.sum("size") * 8 / block).cast("int").alias("parts")).where("n > 1").select("key", "parts")
+    shared = dealt.groupBy("key").agg(
+        F.count("*").alias("n"), F.ceil(F.sum("size") * 8 / block).cast("int").alias("parts"),
+        F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"),
+    ).where("n > 1")
+    shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.min("parts").alias("parts")).select("key", "parts")
     members = dealt.join(shared, "key").select("key", "node", "fp", "parts")
     own = F.pmod("node", F.col("parts")).cast("int")
     # the pairs of parts that have this node's; with one part, the pair (0, 0)

@@ -21,7 +21,8 @@ context only.
    strings are dealt one by one by a 128-bit hash and counted instead. This is exact too.
 
 Memory of a task is bounded by ``LIST_BYTES`` and by one group. Null and short texts have
-no repeats. Repeated rows are copies of each other. Extra columns are ignored.
+no repeats; very long ones are taken ``PART`` starts at a time. Repeated rows are copies of
+each other. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

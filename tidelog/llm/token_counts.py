@@ -9,8 +9,9 @@ over its bytes; no piece is ever built.
 In byte-level vocabularies a space mark opens a word, so a word is matched as the mark
 and its bytes, and all 256 bytes are pieces: every word can be cut.
 
-Null and empty texts have no words and no tokens. Repeated rows count alike; extra
-columns are ignored.
+Null and empty texts have no words and no tokens. A text of any length is taken whole,
+one pass over its bytes. Repeated rows count alike; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
