@@ -148,3 +148,49 @@ def test_stream_state_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("SELECT k, max_by(op, seq) AS op, max_by(v, seq) AS v FROM newest GROUP BY k").collect()
     assert {r["k"]: (r["op"], r["v"]) for r in got} == {"a": (1, "new"), "b": (0, None), "c": (1, "y")}
+
+
+def test_a_lock_ends_with_its_lease(spark, path):
+    old = KVTable.open(spark, path, create_if_missing=True, lease=-1)
+    with KVTable.open(spark, path) as new:
+        new.put(b"a", b"1")
+        with pytest.raises(InvalidArgument, match="lock"):
+            old.put(b"a", b"2")
+        old.close()  # leaves the other's lock
+        assert new.get(b"a") == b"1" and new.folder.exists("LOCK")
+
+
+def test_outputs_are_split_and_picked_one_by_one(spark, path):
+    rows = spark.range(400).select(F.col("id").alias("batch_id"), F.lit(0).alias("pos"), F.lit(1).alias("op"), F.format_string("k%03d", F.col("id")).cast("binary").alias("k"), F.lit(b"v" * 20).alias("v"))
+    with KVTable.open(spark, path, create_if_missing=True, output_bytes=3000) as t:
+        t.write(rows)
+        t.write(rows)
+        t.compact()
+        files = sorted(t.state["files"], key=lambda f: f["smallest"])
+        assert len(files) > 2 and all(a["largest"] < b["smallest"] for a, b in zip(files, files[1:]))
+        names = {f["name"] for f in files}
+        assert t.collect_garbage() == [] and t._runs_there() == names
+        assert len(pairs(t.scan())) == 400 and t.get(b"k123") == b"v" * 20
+    with KVTable.open(spark, path) as t:
+        assert {f["name"] for f in t.state["files"]} == names and len(pairs(t.scan())) == 400
+
+
+def test_a_failed_stream_batch_is_not_remembered(spark, path):
+    bad = spark.range(1).select(F.lit(0).alias("batch_id"), F.lit(0).alias("pos"), F.lit(5).alias("op"), F.lit(b"k").alias("k"), F.lit(b"v").alias("v"))
+    with KVTable.open(spark, path, create_if_missing=True) as t:
+        with pytest.raises(Corruption):
+            t.write(bad, stream_batch=3)
+        t.put(b"a", b"1", sync=True)
+        assert "stream_batch" not in t.state
+        t.write(bad.limit(0), stream_batch=4)
+        assert t.state["stream_batch"] == 4
+
+
+def test_a_writer_waits_for_compaction_of_many_small_runs(spark, path, monkeypatch):
+    from tidelog.sources import table as module
+
+    monkeypatch.setattr(module, "STOP_FILES", 5)
+    with KVTable.open(spark, path, create_if_missing=True) as t:
+        for i in range(9):
+            t.put(b"a", b"%d" % i)
+        assert sum(f["level"] == 0 for f in t.state["files"]) <= 5 and t.get(b"a") == b"8"

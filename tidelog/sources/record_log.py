@@ -67,10 +67,10 @@ def fragments(data: bytes) -> Iterator[tuple]:
                 break  # space laid out beforehand
             if len(body) < size:
                 if not last_block:
-                    yield start + at, None, "bad record length", len(block) - at
+                    yield start + at, None, "longer than its block", len(block) - at
                 break
             if int.from_bytes(block[at : at + 4], "little") != _sum(kind, body):
-                yield start + at, None, "checksum mismatch", len(block) - at
+                yield start + at, None, "bytes and checksum differ", len(block) - at
                 break
             yield start + at, kind, body
             at += HEADER + size
@@ -85,18 +85,18 @@ def scan(data: bytes, offset: int = 0) -> Iterator[tuple]:
             if at >= offset:
                 yield at, None, body, dropped[0]
             if held is not None:
-                yield began, None, "error in middle of record", sum(map(len, held))
+                yield began, None, "lost with the damage inside it", sum(map(len, held))
             held = None
         elif kind in (FULL, FIRST):
             if held is not None:
-                yield began, None, "partial record without end", sum(map(len, held))
+                yield began, None, "begun and never finished", sum(map(len, held))
             held, began = ([body], at) if kind == FIRST else (None, at)
             if kind == FULL and at >= offset:
                 yield at, body
         elif kind in (MIDDLE, LAST):
             if held is None:
                 if at >= offset and offset == 0:
-                    yield at, None, "missing start of record", len(body)
+                    yield at, None, "goes on what never began", len(body)
                 continue
             held.append(body)
             if kind == LAST:
@@ -104,7 +104,7 @@ def scan(data: bytes, offset: int = 0) -> Iterator[tuple]:
                     yield began, b"".join(held)
                 held = None
         else:
-            yield at, None, "unknown record type", len(body) + sum(map(len, held or []))
+            yield at, None, "of no known kind", len(body) + sum(map(len, held or []))
             held = None
 
 
