@@ -82,6 +82,10 @@ class KVTable:
     def _holds_lock(self) -> bool:
         return self.folder.exists("LOCK") and self.folder.read("LOCK").split()[:1] == [self.owner]
 
+    def _check_lock(self) -> None:
+        if not self._holds_lock():
+            raise InvalidArgument(f"{self.folder.path}: the lock has gone to another writer")
+
     def _recover(self) -> None:
         """Newest manifest, its runs all present, runs it doesn't name removed."""
         self.state = json.loads(self.folder.read(self.folder.read("CURRENT").strip()))
@@ -136,8 +140,7 @@ class KVTable:
     # --- commits
 
     def _commit(self, sync: bool = False) -> None:
-        if not self._holds_lock():
-            raise InvalidArgument(f"{self.folder.path}: the lock has gone to another writer")
+        self._check_lock()
         self.folder.create("LOCK", f"{self.owner} {time.time() + self.options['lease']}", replace=True)
         self.state["version"] += 1
         name = f"MANIFEST-{self.state['version']:06d}"
@@ -148,6 +151,7 @@ class KVTable:
         """Run a write; the first failure stays and fails all later writes, reads go on."""
         if self.error:
             raise self.error
+        self._check_lock()
         try:
             return work()
         except (InvalidArgument, Corruption):
