@@ -10,6 +10,7 @@ from cases import TEXTS, docs, empty, in_sql, same, unique
 from pyspark.sql import functions as F
 
 from tidelog.llm import language_id, language_model, merkle, mixing, pii
+from tidelog.llm.common import durable
 
 
 # --- language ID
@@ -166,6 +167,21 @@ def test_merkle_of_many_rows_without_id(spark):
     assert len({(r["fingerprint"], r["edited_fingerprint"], r["near_next"]) for r in got}) == 8
 
 
+def test_merkle_exchanges_the_texts_once(spark):
+    """Also where the order of the ids is too large to be broadcast."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = merkle.compare_with_next(durable(docs(spark)))._jdf.queryExecution().explainString(mode)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert sum("text#" in columns for columns in moved) == 1
+
+
 def test_differences_locate_edits(spark):
     a, b = "One. Two. Three.\nFour. Five.\nSix.", "One. Two. Three.\nFour. Fife.\nSix. Seven."
     row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d"), merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("a"))).alias("none")).first()

@@ -154,7 +154,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows = rows.select("key", _spread(F.col("key"), F.xxhash64("text")).alias("at"), "text").repartition("key", "at")
     asked = order.select(F.col("next_key").alias("key"), _spread(F.col("next_key"), F.col("next_hash")).alias("at"), "next_hash", F.col("key").alias("taker"), "need")
     one = Window.partitionBy("key", "at").orderBy(F.xxhash64("text"))
-    given = rows.withColumn("row", F.row_number().over(one)).where("row = 1").join(asked, ["key", "at"]).where(F.xxhash64("text") == F.col("next_hash"))
+    given = rows.withColumn("row", F.row_number().over(one)).where("row = 1").join(asked, ["key", "at"])
+    # not as an equality: as one it would be a key of the join, by which the texts would be exchanged again
+    given = given.where(F.xxhash64("text").bitwiseXOR(F.col("next_hash")) == 0)
     taken_at = F.when(F.col("taker") < F.lit(LEAST_LONG).cast("decimal(20,0)"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     given = given.select(F.col("taker").alias("key"), taken_at.alias("ats"), F.substring("text", F.lit(1), F.col("need")).alias("head"), compact(tree(F.col("text"))).alias("next_tree"), F.sha2("text", 256).alias("next_sha"))
     given = given.withColumn("at", F.explode("ats")).drop("ats")
