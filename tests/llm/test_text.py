@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import TEXTS, docs, empty, in_sql, same, unique
 from pyspark.sql import functions as F
@@ -309,6 +310,14 @@ def test_noise_contrastive_estimation_learns_the_next_class():
     assert -(follow * log_p).sum(1).mean() < 0.7 * np.log(n)
 
 
+def test_every_token_is_learnt_from(spark):
+    _, vocabulary, _ = language_model.fit(docs(spark))
+    texts = [t and t.encode() for _, t, *_ in TEXTS]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.binary())], ["text"]) for x in (texts[:9], texts[9:])]
+    (learnt,) = language_model._train(vocabulary)(iter(batches))
+    assert set(learnt.column("examples").to_pylist()) == {sum(len(language_model.tokens(t)) for t in texts)}
+
+
 def test_classes_grow_with_the_corpus():
     sizes = [language_model.own_words(10**k) for k in range(3, 12)]
     assert sizes == sorted(sizes) and sizes[0] == language_model.OWN_LEAST and sizes[-1] == language_model.OWN_MOST

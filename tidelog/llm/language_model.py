@@ -7,10 +7,9 @@ classes at the ``POSITIONS`` tokens before it: each position has a matrix that i
 vector is multiplied with, their sum meets each class's target vector, and a bias is added.
 
 It is trained in numpy with noise-contrastive estimation, in parallel: every task goes over
-its training texts, takes one token in ``EVERY`` as an example (at an offset by the text's
-hash, so every text gives some, and twice the corpus gives twice as many), draws noise
-classes from the class frequencies, and learns to tell the examples' classes from the
-noise. The tasks start from the same parameters; the average of what they end with,
+its training texts once, every token of which is an example, draws noise classes from the
+class frequencies, and learns to tell the examples' classes from the noise. The examples of
+a step stand apart, spread over a group of texts. The tasks start from the same parameters; the average of what they end with,
 weighted by their examples, is the model. Scores of a position's classes and all next
 classes are a matrix product, and so are the sums over all next classes that normalise
 them, for all pairs of context classes at once. Within a class of many words, a word has
@@ -54,8 +53,6 @@ DIMENSIONS = 32
 BATCH = 512
 NOISE = 64
 RATE = 0.15
-#: One token in this many is an example.
-EVERY = 8
 #: Words, and bytes of words, that a worker keeps; the table starts anew beyond that.
 KEPT_WORDS = 300_000
 KEPT_BYTES = 32 << 20
@@ -238,7 +235,7 @@ class Trainer:
     @staticmethod
     def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of equal rows added up."""
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")  # sorted by radix: there are fewer classes than that
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         return ids[first], np.add.reduceat(g[order], first)
@@ -272,16 +269,13 @@ def _train(vocabulary: Vocabulary):
             for group in by_size([t or b"" for t in batch.column(0).to_pylist()], GROUP_BYTES):
                 at, starts = table.look_up_all(group)
                 cls = table.cls[at]
-                offset = np.fromiter((xxhash.xxh3_64_intdigest(t) % EVERY for t in group), np.int64, len(group))
-                count = np.diff([*starts, len(at)])
-                taken = np.flatnonzero((np.arange(len(at)) - np.repeat(starts + offset % np.minimum(count, EVERY), count)) % EVERY == 0)
-                new = [*(c[taken] for c in before(cls, starts, vocabulary.own)), cls[taken]]
+                new = [*before(cls, starts, vocabulary.own), cls]
                 left = new if left is None else [np.concatenate(x) for x in zip(left, new)]
-                whole = len(left[-1]) // BATCH * BATCH
-                for k in range(0, whole, BATCH):
-                    *contexts, words = (x[k : k + BATCH] for x in left)
+                steps = len(left[-1]) // BATCH
+                for k in range(steps):
+                    *contexts, words = (x[k : steps * BATCH : steps] for x in left)
                     trainer.learn(contexts, words)
-                left = [x[whole:] for x in left]
+                left = [x[steps * BATCH :] for x in left]
         if left is not None and len(left[-1]):
             trainer.learn(left[:-1], left[-1])
         if trainer.examples:
