@@ -113,6 +113,27 @@ def test_similar_groups_equal_all_pairs(spark, monkeypatch, block):
     assert simhash.similar_groups(empty(spark)).count() == 0
 
 
+def test_similar_texts_meet_by_their_fingerprints(spark, monkeypatch):
+    """Where no band brings them together: those linked within 3 bits, verified by their sets."""
+
+    def none_shared(shingles):
+        return np.array([xxhash.xxh3_64_intdigest(shingles.tobytes(), i) for i in range(24)], np.uint64).view(np.int64)
+
+    monkeypatch.setattr(simhash, "bands", none_shared)
+    rows = [(100 * seed + i, t, "en", "a") for seed in range(8) for i, t in enumerate(family(50 + seed, 3, 3000))] + [(5000, "", "en", "a"), (5001, None, "en", "a")]
+    fps = {i: simhash.majority(iter([simhash.shingle_set((t or "").encode(), 5)])) for i, t, *_ in rows}
+    want = {i: i for i in fps}
+    for i in fps:
+        for j in fps:
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    groups = {}
+    for r in simhash.similar_groups(docs(spark, rows)).collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    assert {i: min(g) for g in groups.values() for i in g} == want and len(set(want.values())) < 20
+
+
 def test_many_texts_of_one_template(spark):
     """None is like another but two, all meet."""
     shared = prose(70, 150)

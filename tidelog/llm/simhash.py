@@ -16,8 +16,9 @@ counts as empty. Repeated rows get the same fingerprint and component. Extra col
 are ignored; an empty table gives an empty result. Very long texts are hashed
 ``AT_ONCE`` shingles at a time.
 
-``similar_groups`` finds near duplicates by the similarity of whole shingle sets instead:
-see there how far fingerprints go.
+``similar_groups`` finds near duplicates by the similarity of whole shingle sets: what the
+links of fingerprints bring together is verified by it, and what lies beyond their reach
+meets by least hashes.
 """
 
 from __future__ import annotations
@@ -359,7 +360,7 @@ def _similar(similarity: float):
 
 
 def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_BYTES) -> DataFrame:
-    """Links (u, v) that connect all nodes (node, size, fp, bands) that meet in a band and are alike.
+    """Links (u, v) that connect all nodes (node, size, fp, bands) that share a key of ``bands`` and are alike.
 
     A bucket is worked on with the sets of its nodes, and yields a forest, never all its
     pairs. Buckets of the same nodes, which near copies share many of, are worked on once.
@@ -381,20 +382,36 @@ def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILAR
     return met.mapInArrow(_similar(similarity), "u long, v long")
 
 
+def with_component(nodes: DataFrame, fps: DataFrame) -> DataFrame:
+    """Nodes with one key more in ``bands``: that of the component of the node's fingerprint over the links of ``fps``.
+
+    A node without shingles has no fingerprint to be near, and gets none.
+    """
+    small_batches(nodes.sparkSession, 20_000)
+    roots = components(links(fps)).select(F.col("u").alias("fp"), F.col("v").alias("near"))
+    small_batches(nodes.sparkSession)
+    key = F.xxhash64(F.lit("component"), F.coalesce("near", "fp"))
+    keys = F.when(F.col("size") > 0, F.array_append("bands", key)).otherwise(F.col("bands"))
+    return nodes.join(roots, "fp", "left").select("node", "text_hash", "size", "fp", keys.alias("bands"))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, root) for each row: root tells the rows connected by texts of that Jaccard similarity.
 
-    Texts with equal shingle sets, such as all without words, are one node. Two sets of
-    similarity 0.8 agree in 54 of 64 bits on average, in 40 at least: blocks that bring all
-    such fingerprints together would be 2 bits wide. Sets meet by bands of least hashes
-    instead (at 0.8 a pair misses all of them once in 13,000 times); the table of distances
-    to pivots and the fingerprints discard, the whole sets verify.
+    Texts with equal shingle sets, such as all without words, are one node. Nodes meet by
+    the components of their fingerprints, linked as those of ``grouped``: blocks, the table
+    of distances to pivots, exact distance. Two sets of similarity 0.8 agree in 54 of 64
+    bits on average, in 40 at least, and blocks that bring all such fingerprints together
+    would be 2 bits wide; so sets meet by bands of least hashes, too (at 0.8 a pair misses
+    all of them once in 13,000 times). Of what meets, the pivots and the fingerprints
+    discard, the whole sets verify.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
     marked = durable(rows.mapInArrow(_sketches(width), "doc_id long, text_hash long, node long, size int, fp long, bands array<long>"))
-    nodes = durable(marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = durable(with_component(nodes, marked.where("size > 0").select("fp").distinct()))
     meets = nodes.select("node", "text_hash", F.explode("bands").alias("key"))
     shared = meets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     wanted = meets.join(shared, "key", "left_semi").select("node", "text_hash").distinct()
