@@ -229,8 +229,9 @@ class Trainer:
         self.examples = 0
 
     def _move(self, no: int, x: np.ndarray, rows, g: np.ndarray) -> None:
-        self.sums[no][rows] += g * g
-        x[rows] -= RATE * g / np.sqrt(self.sums[no][rows])
+        sums = self.sums[no][rows] + g * g
+        self.sums[no][rows] = sums
+        x[rows] -= RATE * g / np.sqrt(sums)
 
     @staticmethod
     def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +239,7 @@ class Trainer:
         order = np.argsort(ids.astype(np.int16), kind="stable")  # sorted by radix: there are fewer classes than that
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        return ids[first], np.add.reduceat(g[order], first)
+        return ids[first], np.add.reduceat(g.take(order, 0), first)
 
     def learn(self, contexts: list[np.ndarray], words: np.ndarray) -> None:
         """One step; contexts holds the class at each position."""
@@ -247,9 +248,10 @@ class Trainer:
         vectors = [p.context[c] for c in contexts]
         h = sum(v @ m.T for v, m in zip(vectors, p.position))
         odds = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # noqa: E731  that it is data, not noise
-        g_word = odds((h * p.target[words]).sum(1) + p.bias[words] - self.log_noise[words]) - 1
-        g_noise = odds(h @ p.target[noise].T + p.bias[noise] - self.log_noise[noise])
-        g_h = g_word[:, None] * p.target[words] + g_noise @ p.target[noise]
+        target, noise_target = p.target[words], p.target[noise]
+        g_word = odds(np.einsum("ij,ij->i", h, target) + p.bias[words] - self.log_noise[words]) - 1
+        g_noise = odds(h @ noise_target.T + p.bias[noise] - self.log_noise[noise])
+        g_h = g_word[:, None] * target + g_noise @ noise_target
         ids = np.concatenate([words, noise])
         targets = self._by_row(ids, np.concatenate([g_word[:, None] * h, g_noise.T @ h]))
         biases = self._by_row(ids, np.concatenate([g_word, g_noise.sum(0)]))
