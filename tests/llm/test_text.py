@@ -1,5 +1,6 @@
 """Language ID, PII, Merkle trees, mixing and language-model scores."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -310,6 +311,20 @@ def test_noise_contrastive_estimation_learns_the_next_class():
     assert -(follow * log_p).sum(1).mean() < 0.7 * np.log(n)
 
 
+def test_words_that_end_alike_are_classed_once(spark, monkeypatch):
+    rng = random.Random(4)
+    odd = [b"", b".", b"..", b"a", b"a.", b"ab..", b"abc.", b"abc..", b"abcd", b"x....", b"....x", b"abcdef?!", b"\xc3\xa9.", b"ab\x00."]
+    words = odd + [bytes(rng.choices(b"ab.,!?)", k=rng.randint(1, 9))) for _ in range(3000)]
+    assert language_model.buckets(words).tolist() == [language_model.bucket(w) for w in words]
+    _, vocabulary, _ = language_model.fit(docs(spark))
+    asked, bucket = [], language_model.bucket
+    monkeypatch.setattr(language_model, "bucket", lambda w: asked.append(w) or bucket(w))
+    table, new = language_model.Table(vocabulary), [b"%dword" % i for i in range(1000)]
+    rows = table.look_up(new + new)
+    assert rows.tolist() == [*range(1000)] * 2 and len(asked) <= 1
+    assert set(table.cls[rows].tolist()) == {vocabulary.own + 1 + bucket(b"word")} and table.rare.all()
+
+
 def test_every_token_is_learnt_from(spark):
     _, vocabulary, _ = language_model.fit(docs(spark))
     texts = [t and t.encode() for _, t, *_ in TEXTS]

@@ -74,9 +74,34 @@ def bucket(word: bytes) -> int:
     return mark * ENDINGS + zlib.crc32(core[-3:]) % ENDINGS
 
 
+class Endings(dict):
+    """The bucket of each word's last 4 bytes, as far as they decide it; else -1."""
+
+    def __missing__(self, last: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        decided = len(last) < 4 or len(last.rstrip(PUNCTUATION)) >= 3
+        found = self[last] = bucket(last) if decided else -1
+        return found
+
+
+_endings = Endings()
+
+
+def buckets(words: list[bytes]) -> np.ndarray:
+    """``bucket`` of each word, worked out once for words that end alike."""
+    out = np.fromiter((_endings[w[-4:]] for w in words), np.int32, len(words))
+    for i in np.flatnonzero(out < 0).tolist():
+        out[i] = bucket(words[i])
+    return out
+
+
 def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (h >> 63 << 64)
+    return int(word_hashes([word])[0])
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -87,7 +112,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter) -> pa.RecordBatch:
         words = list(counts)
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(map(word_hash, words)), pa.int64()), pa.array([bucket(w) for w in words], pa.int32()), pa.array(counts.values(), pa.int64())], ["h", "bucket", "n"]
+            [pa.array(word_hashes(words)), pa.array(buckets(words)), pa.array(counts.values(), pa.int64())], ["h", "bucket", "n"]
         )
 
     counts: Counter = Counter()
@@ -144,6 +169,18 @@ class Vocabulary:
         self.frequency = (each + 1) / (each.sum() + self.classes)
 
 
+class Numbers(dict):
+    """Numbers words as they are first asked for, and lists those."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Table:
     """Class, log10(count + 1) and rarity of words, kept by word in a worker."""
 
@@ -152,7 +189,7 @@ class Table:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
+        self.ids = Numbers()
         self.bytes = 0
         self.cls, self.log, self.hash = np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)
         self.rare = np.zeros(0, bool)
@@ -161,21 +198,22 @@ class Table:
         """Row of the table for each word."""
         if len(self.ids) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.clear()
-        new = list(set(words).difference(self.ids))
+        rows = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        new, self.ids.new = self.ids.new, []
         if new:
             v = self.v
-            h = np.fromiter(map(word_hash, new), np.int64, len(new))
+            h = word_hashes(new)
             at = np.minimum(np.searchsorted(v.h, h), max(0, len(v.h) - 1))
             known = v.h[at] == h if len(v.h) else np.zeros(len(new), bool)
-            cls = np.fromiter((v.own if w == END else v.own + 1 + bucket(w) for w in new), np.int32, len(new))
+            cls = v.own + 1 + buckets(new)
+            cls[h == word_hash(END)] = v.own
             self.bytes += sum(map(len, new))
             log = np.zeros(len(new))
             cls[known] = v.cls[at[known]]
             log[known] = np.log10(v.n[at[known]] + 1)
-            self.ids |= zip(new, range(len(self.ids), len(self.ids) + len(new)))
             self.cls, self.log = np.concatenate([self.cls, cls]), np.concatenate([self.log, log])
             self.hash, self.rare = np.concatenate([self.hash, h]), np.concatenate([self.rare, ~known])
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return rows
 
     def look_up_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the table for the tokens of all texts, and where each text starts."""
@@ -228,39 +266,56 @@ class Trainer:
         self.sums = [np.full(x.shape, 1e-3, np.float32) for x in (self.p.context, self.p.position, self.p.target, self.p.bias)]
         self.examples = 0
 
-    def _move(self, no: int, x: np.ndarray, rows, g: np.ndarray) -> None:
-        sums = self.sums[no][rows] + g * g
-        self.sums[no][rows] = sums
-        x[rows] -= RATE * g / np.sqrt(sums)
+    def _move(self, no: int, x: np.ndarray, rows: np.ndarray | None, g: np.ndarray) -> None:
+        step = g * g
+        if rows is None:
+            self.sums[no] += step
+            x -= RATE * g / np.sqrt(self.sums[no])
+            return
+        step += self.sums[no].take(rows, 0)
+        self.sums[no][rows] = step
+        np.sqrt(step, out=step)
+        np.divide(RATE * g, step, out=step)
+        x[rows] = x.take(rows, 0) - step
 
     @staticmethod
-    def _by_row(ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of equal rows added up."""
+    def _by_row(ids: np.ndarray, *gradients: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The different ids, and the gradients of equal ones added up."""
         order = np.argsort(ids.astype(np.int16), kind="stable")  # sorted by radix: there are fewer classes than that
-        ids = ids[order]
+        ids = ids.take(order)
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        return ids[first], np.add.reduceat(g.take(order, 0), first)
+        return ids.take(first), *(np.add.reduceat(g.take(order, 0), first) for g in gradients)
+
+    @staticmethod
+    def _odds(s: np.ndarray) -> np.ndarray:
+        """That it is data, not noise; in place."""
+        np.clip(s, -30, 30, out=s)
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        return np.divide(1, s, out=s)
 
     def learn(self, contexts: list[np.ndarray], words: np.ndarray) -> None:
         """One step; contexts holds the class at each position."""
         p = self.p
         noise = np.minimum(np.searchsorted(self.up_to, self.rng.random(NOISE)), len(self.up_to) - 1)
-        vectors = [p.context[c] for c in contexts]
+        vectors = [p.context.take(c, 0) for c in contexts]
         h = sum(v @ m.T for v, m in zip(vectors, p.position))
-        odds = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # noqa: E731  that it is data, not noise
-        target, noise_target = p.target[words], p.target[noise]
-        g_word = odds(np.einsum("ij,ij->i", h, target) + p.bias[words] - self.log_noise[words]) - 1
-        g_noise = odds(h @ noise_target.T + p.bias[noise] - self.log_noise[noise])
-        g_h = g_word[:, None] * target + g_noise @ noise_target
-        ids = np.concatenate([words, noise])
-        targets = self._by_row(ids, np.concatenate([g_word[:, None] * h, g_noise.T @ h]))
-        biases = self._by_row(ids, np.concatenate([g_word, g_noise.sum(0)]))
+        target, noise_target = p.target.take(words, 0), p.target.take(noise, 0)
+        g_word = self._odds(np.einsum("ij,ij->i", h, target) + p.bias.take(words) - self.log_noise.take(words)) - 1
+        g_noise = h @ noise_target.T
+        g_noise += p.bias.take(noise)
+        g_noise -= self.log_noise.take(noise)
+        self._odds(g_noise)
+        g_h = g_word[:, None] * target
+        g_h += g_noise @ noise_target
+        ids, *targets = self._by_row(np.concatenate([words, noise]), np.concatenate([g_word[:, None] * h, g_noise.T @ h]), np.concatenate([g_word, g_noise.sum(0)]))
         positions = np.stack([g_h.T @ v for v in vectors])
         context = self._by_row(np.concatenate(contexts), np.concatenate([g_h @ m for m in p.position]))
         self._move(0, p.context, *context)
-        self._move(1, p.position, slice(None), positions)
-        self._move(2, p.target, *targets)
-        self._move(3, p.bias, *biases)
+        self._move(1, p.position, None, positions)
+        self._move(2, p.target, ids, targets[0])
+        self._move(3, p.bias, ids, targets[1])
         self.examples += len(words)
 
 
