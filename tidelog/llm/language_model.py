@@ -329,8 +329,8 @@ def _train(vocabulary: Vocabulary):
                 new = [*before(cls, starts, vocabulary.own), cls]
                 left = new if left is None else [np.concatenate(x) for x in zip(left, new)]
                 steps = len(left[-1]) // BATCH
-                for k in range(steps):
-                    *contexts, words = (x[k : steps * BATCH : steps] for x in left)
+                apart = [np.ascontiguousarray(x[: steps * BATCH].reshape(BATCH, steps).T, np.intp) for x in left]  # a step's examples in a row
+                for *contexts, words in zip(*apart):
                     trainer.learn(contexts, words)
                 left = [x[steps * BATCH :] for x in left]
         if left is not None and len(left[-1]):
