@@ -64,9 +64,9 @@ def check_ops(ops: Iterable[tuple]) -> None:
             raise Corruption(f"bad batch entry {op!r}")
 
 
-def number(ops: DataFrame, base: int) -> DataFrame:
+def number(ops: DataFrame, base: int, held: list[DataFrame] | None = None) -> DataFrame:
     """Consecutive seq from ``base`` by (batch_id, pos), over any number of rows."""
-    return ordered.numbered(ops, ["batch_id", "pos"], "seq", base)
+    return ordered.numbered(ops, ["batch_id", "pos"], "seq", base, held)
 
 
 def last_in_batch(ops: DataFrame) -> DataFrame:

@@ -39,9 +39,14 @@ def neighbours(df: DataFrame, key: str = "k", before: str = "prev_k", after: str
     return rows.withColumn(before, F.coalesce(before, "_before")).withColumn(after, F.coalesce(after, "_after")).drop("_part", "_before", "_after")
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "n", base: int = 0) -> DataFrame:
-    """Consecutive numbers from ``base`` in the order of the columns, which must be unique together."""
+def numbered(df: DataFrame, order: Sequence[str], name: str = "n", base: int = 0, held: list[DataFrame] | None = None) -> DataFrame:
+    """Consecutive numbers from ``base`` in the order of the columns, which must be unique together.
+
+    ``held`` takes the rows that are kept, for a caller that lets go of them.
+    """
     rows = dealt(df, order)
+    if held is not None:
+        held.append(rows)
     offsets = _parts(rows, F.count("*").alias("_count"))
     offsets = offsets.select("_part", F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -60,6 +65,15 @@ def running(df: DataFrame, order: Sequence[str], value: str, name: str, how: str
     return rows.withColumn(name, both).drop("_part", "_own", "_carry")
 
 
+def cut(rows: DataFrame, key: str, size: str, each: int, name: str) -> DataFrame:
+    """Rows dealt by ``key`` with the number of the stretch of ``each`` bytes that their key ends in; a key is in one."""
+    carried = _parts(rows, F.sum(size).alias("_all"))
+    carried = carried.select("_part", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0)).alias("_carry"))
+    upto = F.sum(size).over(Window.partitionBy("_part").orderBy(key).rangeBetween(*UPTO))
+    rows = rows.withColumn("_own", upto).join(carried, "_part")
+    return rows.withColumn(name, F.floor((F.col("_carry") + F.col("_own") - 1) / F.lit(each)).cast("int")).drop("_part", "_own", "_carry")
+
+
 def covered(points: DataFrame, ranges: DataFrame, key: str = "k") -> DataFrame:
     """Points with ``covered``: whether any range [smallest, largest] holds the key.
 

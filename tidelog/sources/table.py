@@ -12,12 +12,12 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import compact as compaction
-from ..operators import reads, stats
+from ..operators import ordered, reads, stats
 from ..operators.batches import SLOW_FILES, STOP_FILES, Batch, check_ops, group_writers, number
 from ..operators.resolve import live, merge_runs, resolve
 from ..schema import DELETE, LEVELS, LOG, PUT, Corruption, InvalidArgument
@@ -26,6 +26,8 @@ from .files import Folder
 COMPARATOR = "bytewise"
 #: Bytes of entries that an output of a compaction has, about.
 OUTPUT_BYTES = 128 << 20
+#: Sizes among which each file's Bloom filter takes the least that its keys fill: 1 MiB, and halves of that down to 32 bytes.
+BLOOM_SIZES = 16
 #: Seconds for which a lock holds after its owner's last commit.
 LEASE = 3600.0
 
@@ -160,17 +162,21 @@ class KVTable:
             self.error = e
             raise
 
+    def _writer(self, rows: DataFrame) -> DataFrameWriter:
+        """Without a size that fits its keys a filter has 1 MiB in every file, however small."""
+        writer = rows.write.option("compression", self.options["compression"])
+        if self.options["bloom"]:
+            writer = writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#k", BLOOM_SIZES)
+        return writer
+
     def _write_run(self, rows: DataFrame, level: int, read: int = 0) -> dict | None:
         """A sorted run of rows (k, seq, op, v), made of ``read`` bytes of other runs; None if there are none."""
         n = self.state["next_file"]
         self.state["next_file"] += 1
         name = f"{n:06d}.run"
         path = f"{self.folder.path}/runs/{name}"
-        writer = rows.repartitionByRange("k").sortWithinPartitions("k", F.desc("seq"), F.desc("op")).write.option("compression", self.options["compression"])
-        if self.options["bloom"]:
-            writer = writer.option("parquet.bloom.filter.enabled#k", "true")
         began = time.time()
-        writer.parquet(path)
+        self._writer(rows.repartitionByRange("k").sortWithinPartitions("k", F.desc("seq"), F.desc("op"))).parquet(path)
         run = self._describe(n, name, level)
         if run is None:
             self.folder.delete(f"runs/{name}")
@@ -186,17 +192,26 @@ class KVTable:
             out |= {f"{name}/{n}" for n in parts} or {name}
         return out
 
-    def _write_runs(self, rows: DataFrame, level: int, read: int, outputs: int) -> list[dict]:
-        """Sorted runs of rows in ranges of keys, about ``outputs`` of them; no key is in two."""
-        if outputs <= 1:
+    def _write_runs(self, rows: DataFrame, level: int, read: int, most: int, least: int = 1) -> list[dict]:
+        """Sorted runs of rows in ranges of keys, of about ``most`` bytes and at least about ``least`` of them; no key is in two.
+
+        They are cut by the bytes of the rows that are left, not of the ``read`` ones they are made of.
+        """
+        if read <= most and least <= 1:
             run = self._write_run(rows, level, read)
             return [run] if run else []
         n = self.state["next_file"]
         job, began = f"{n:06d}.run", time.time()
         path = f"{self.folder.path}/runs/{job}"
-        cut = rows.repartitionByRange(outputs, "k").withColumn("out", F.spark_partition_id()).sortWithinPartitions("out", "k", F.desc("seq"), F.desc("op"))
-        writer = cut.write.option("compression", self.options["compression"]).partitionBy("out")
-        (writer.option("parquet.bloom.filter.enabled#k", "true") if self.options["bloom"] else writer).parquet(path)
+        kept = ordered.dealt(rows.withColumn("_size", stats.encoded_size(F.col("k"), F.col("v"))), ["k"])
+        try:
+            size = kept.agg(F.sum("_size")).first()[0] or 0
+            outputs = max(1, -(-size // most), least)
+            tasks = min(outputs, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            parts = ordered.cut(kept, "k", "_size", max(1, -(-size // outputs)), "out").drop("_size").repartition(tasks, "out")
+            self._writer(parts.sortWithinPartitions("out", "k", F.desc("seq"), F.desc("op"))).partitionBy("out").parquet(path)
+        finally:
+            kept.unpersist()
         found = self.spark.read.schema(T.StructType([*LOG.fields, T.StructField("out", T.IntegerType())])).parquet(path).groupBy("out").agg(*_facts()).orderBy("out").collect()  # a row for each output
         runs = [self._entry(s, n + i, f"{job}/out={s['out']}", level) for i, s in enumerate(found)]
         self.state["next_file"] = n + max(1, len(runs))
@@ -250,7 +265,7 @@ class KVTable:
 
         def work() -> int:
             self._admit()
-            base = self.state["last_seq"] + 1
+            base, held = self.state["last_seq"] + 1, []
             if isinstance(batch, Batch):
                 if not batch.ops:
                     return self.state["last_seq"]
@@ -260,8 +275,12 @@ class KVTable:
                 bad = batch.where(~F.coalesce(F.col("op").isin(DELETE, PUT) & F.col("k").isNotNull() & (F.col("v").isNull() == (F.col("op") == DELETE)), F.lit(False)))
                 if bad.limit(1).count():
                     raise Corruption("rows that are neither a put with a value nor a delete without one")
-                rows = number(batch, base).select(F.col("k").cast("binary").alias("k"), "seq", F.col("op").cast("byte").alias("op"), F.col("v").cast("binary").alias("v"))
-            run = self._write_run(rows, 0)
+                rows = number(batch, base, held).select(F.col("k").cast("binary").alias("k"), "seq", F.col("op").cast("byte").alias("op"), F.col("v").cast("binary").alias("v"))
+            try:
+                run = self._write_run(rows, 0)
+            finally:
+                for kept in held:
+                    kept.unpersist()
             if run:
                 level = compaction.flush_level(self.files(), self.spark.createDataFrame([(0, bytearray.fromhex(run["smallest"]), bytearray.fromhex(run["largest"]))], "run_id long, smallest binary, largest binary")).first()["level"] if self.state["files"] else 2
                 run["level"] = level
@@ -344,6 +363,7 @@ class KVTable:
         deepest = max((f["level"] for f in self.state["files"] if meets(f)), default=0)
         for level in range(max(1, deepest)):
             self._guard(lambda level=level: self._merge(level, meets))
+        self._guard(lambda: self._settle(max(1, deepest), meets))
 
     def _merge(self, level: int, meets) -> None:
         files = self.state["files"]
@@ -379,10 +399,27 @@ class KVTable:
         oldest = self.oldest()
         size, most = sum(f["file_size"] for f in inputs), self.options["output_bytes"]
         # an output has about ``most`` bytes, and overlaps about as much of the level below as one may
-        outputs = max(-(-size // most), -(-below // (compaction.GRANDPARENT_OUTPUTS * most)))
-        runs = self._write_runs(compaction.compact(self._scan(inputs), oldest, ranges), level + 1, size, outputs)
-        self.state["files"] = [f for f in files if f["file_no"] not in taken] + runs
+        runs = self._write_runs(compaction.compact(self._scan(inputs), oldest, ranges), level + 1, size, most, -(-below // (compaction.GRANDPARENT_OUTPUTS * most)))
         self.state.setdefault("pointers", {})[str(level)] = max(f["largest"] for f in upper)
+        self._replace(taken, runs, oldest)
+
+    def _settle(self, level: int, meets) -> None:
+        """Rewrite in their level the runs that came down without a merge, or were merged for an older snapshot: they may hold hidden entries."""
+        oldest = self.oldest()
+        inputs = [f for f in self.state["files"] if f["level"] == level and meets(f) and f.get("merged_at", -1) < min(oldest, f["max_seq"])]
+        if not inputs:
+            return
+        taken = {f["file_no"] for f in inputs}
+        deeper = [(bytearray.fromhex(f["smallest"]), bytearray.fromhex(f["largest"])) for f in self.state["files"] if f["level"] > level]
+        ranges = self.spark.createDataFrame(deeper, "smallest binary, largest binary") if deeper else None
+        runs = self._write_runs(compaction.compact(self._scan(inputs), oldest, ranges), level, sum(f["file_size"] for f in inputs), self.options["output_bytes"])
+        self._replace(taken, runs, oldest)
+
+    def _replace(self, taken: set[int], runs: list[dict], oldest: int) -> None:
+        """Commit runs merged for snapshots from ``oldest`` on in place of those taken."""
+        for run in runs:
+            run["merged_at"] = oldest
+        self.state["files"] = [f for f in self.state["files"] if f["file_no"] not in taken] + runs
         self.state["compacted_to"] = max(self.state.get("compacted_to", 0), oldest)
         self._commit()
         self.collect_garbage()
