@@ -194,3 +194,33 @@ def test_a_writer_waits_for_compaction_of_many_small_runs(spark, path, monkeypat
         for i in range(9):
             t.put(b"a", b"%d" % i)
         assert sum(f["level"] == 0 for f in t.state["files"]) <= 5 and t.get(b"a") == b"8"
+
+
+def test_outputs_fit_what_is_left_and_their_filters_fit_their_keys(spark, path):
+    rows = spark.range(8000).select(F.col("id").alias("batch_id"), F.lit(0).alias("pos"), F.lit(1).alias("op"), F.format_string("k%03d", F.col("id") % 400).cast("binary").alias("k"), F.lit(b"v" * 20).alias("v"))
+    with KVTable.open(spark, path, create_if_missing=True, output_bytes=3000) as t:
+        t.write(rows)
+        t.write(rows)
+        t.compact()
+        files = sorted(t.state["files"], key=lambda f: f["smallest"])
+        assert len(files) == -(-400 * 32 // 3000)  # of the live entries, not of the 16,000 read
+        assert all(a["largest"] < b["smallest"] for a, b in zip(files, files[1:])) and sum(f["entries"] for f in files) == 400
+        assert sum(f["stored"] for f in files) < 40_000 and t.get(b"k123") == b"v" * 20
+        assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_compaction_reaches_runs_that_nothing_overlaps(spark, path):
+    with KVTable.open(spark, path, create_if_missing=True) as t:
+        t.write(Batch().put(b"a", b"1").put(b"a", b"2").put(b"b", b"1").delete(b"b"))
+        t.write(Batch().put(b"x", b"1").put(b"x", b"2"))
+        held = t.snapshot()
+        t.put(b"y", b"1")
+        t.put(b"a", b"3")
+        t.compact()
+        assert t.get(b"a", held) == b"2" and t.get(b"a") == b"3" and t.get(b"b") is None
+        t.release(held)
+        t.compact()
+        assert [(bytes(r["k"]), bytes(r["v"])) for r in t.versions().collect()] == [(b"a", b"3"), (b"x", b"2"), (b"y", b"1")]
+        names = {f["name"] for f in t.state["files"]}
+        t.compact()  # nothing is left to do
+        assert {f["name"] for f in t.state["files"]} == names

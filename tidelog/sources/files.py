@@ -9,10 +9,11 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
+        self._new_path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return self._new_path(f"{self.path}/{name}" if name else self.path)
 
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._at(name))
