@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..operators.batches import Batch
 from ..sources import record_log
-from ..sources.files import Folder
 from ..sources.table import KVTable
 from . import logs
 
@@ -169,35 +168,18 @@ def table_empty(spark, d):
 @query("SELECT k, seq, op, v FROM l1")
 def log_replay(spark, d):
     """Batches of the event log as record logs, one for each 50 batches, read and decoded again."""
-    e = logs.events(spark, d)
-    rows = e.select(F.floor((F.col("seq") - 1) / 400).alias("log_no"), "seq", "k", "op", "v").orderBy("seq").toLocalIterator(prefetchPartitions=True)
-    folder = Folder(spark, _folder(spark))
-    folder.make()
-    held: dict[int, list] = {}
-
-    def flush(no: int, ops: list) -> None:
-        batches = [(ops[i][0], Batch([o[1] for o in ops[i : i + 8]])) for i in range(0, len(ops), 8)]
-        folder.create_bytes(f"{no:06d}.log", record_log.log_bytes(batches))
-
-    for r in rows:
-        held.setdefault(r["log_no"], []).append((r["seq"], (r["op"], r["k"].encode(), None if r["v"] is None else r["v"].encode())))
-        if len(held) > 1:
-            first = min(held)
-            flush(first, held.pop(first))
-    for no, ops in held.items():
-        flush(no, ops)
-    return _text(record_log.replay(spark, folder.path))
+    n = F.col("seq") - 1
+    path = _folder(spark)
+    record_log.write_logs(logs.events(spark, d).select(F.floor(n / 400).alias("log_no"), F.floor(n / 8).alias("batch_id"), "seq", "op", "k", "v"), path)
+    return _text(record_log.replay(spark, path, names="part-*"))
 
 
 @query("SELECT count(*)::BIGINT AS records, (12 * count(*))::BIGINT AS header_bytes, 0::BIGINT AS dropped, max(b)::BIGINT AS last_batch FROM (SELECT (seq - 1) // 8 AS b FROM l1 GROUP BY 1)")
 def log_records(spark, d):
     """Records of one log by their places; the last begins at the largest offset."""
-    e = logs.events(spark, d).orderBy("seq").toLocalIterator(prefetchPartitions=True)
-    ops = [(r["op"], r["k"].encode(), None if r["v"] is None else r["v"].encode()) for r in e]
-    folder = Folder(spark, _folder(spark))
-    folder.make()
-    folder.create_bytes("000001.log", record_log.log_bytes((i + 1, Batch(ops[i : i + 8])) for i in range(0, len(ops), 8)))
-    rows = record_log.read(spark, folder.path)
+    path = f"{_folder(spark)}/000001.log"
+    record_log.write_log(logs.events(spark, d).select(F.lit(1).alias("log_no"), F.floor((F.col("seq") - 1) / 8).alias("batch_id"), "seq", "op", "k", "v"), path)
+    rows = record_log.read_log(spark, path)
     seq = sum(F.conv(F.hex(F.substring("record", i + 1, 1)), 16, 10).cast("long") * (1 << 8 * i) for i in range(4))
     return rows.agg(F.count("record").alias("records"), F.sum(F.lit(12)).cast("long").alias("header_bytes"), F.coalesce(F.sum("dropped"), F.lit(0)).cast("long").alias("dropped"), F.max_by((seq - 1) / 8, "at").cast("long").alias("last_batch"))
 
