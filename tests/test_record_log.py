@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.operators.batches import Batch
 from tidelog.operators.resolve import live
@@ -109,3 +111,35 @@ def test_repair_without_a_manifest(spark, tmp_path):
         assert t.get(b"a") is None and t.get(b"b") == b"2" and t.state["last_seq"] == 3
     with KVTable.open(spark, path) as t:
         assert t.get(b"b") == b"2"
+
+
+def rows_of_logs(spark, n):
+    rows = spark.range(n).select(F.floor(F.col("id") / 40).alias("log_no"), F.floor(F.col("id") / 8).alias("batch_id"), (F.col("id") + 1).alias("seq"), F.when(F.col("id") % 5 == 0, 0).otherwise(1).alias("op"), F.format_string("k%d", F.col("id") % 30).alias("k"))
+    return rows.withColumn("v", F.when(F.col("op") == 1, F.repeat(F.lit("v\0\xff"), (F.col("seq") % 50).cast("int"))))
+
+
+def test_tasks_write_logs_that_replay(spark, tmp_path, monkeypatch):
+    rows = rows_of_logs(spark, 1000).where("seq NOT IN (5, 90)")  # a sequence may have gaps
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    log.write_logs(rows, str(tmp_path / "logs"))
+    assert len(list((tmp_path / "logs").glob("part-*"))) == 25
+    got = log.replay(spark, str(tmp_path / "logs"), paranoid=True, names="part-*").select(F.col("k").cast("string"), "seq", F.col("op").cast("int"), F.col("v").cast("string"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(map(tuple, rows.select("k", "seq", "op", "v").collect()), key=lambda r: r[1])
+
+
+def test_tasks_write_one_log_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "PART_BYTES", 10_000)
+    path = str(tmp_path / "1.log")
+    log.write_log(rows_of_logs(spark, 4000).withColumn("log_no", F.lit(1)).repartition(3), path)
+    got = sorted(log.read_log(spark, path).collect(), key=lambda r: r["at"])
+    assert [log.decode_batch(bytes(r["record"]))[0] for r in got] == list(range(1, 4001, 8)) and all(r["dropped"] is None for r in got)
+    parts = sorted(p.read_bytes() for p in (tmp_path / "1.log").glob("part-*"))
+    assert len(parts) > 1 and all(len(p) % log.BLOCK == 0 for p in parts) and len({r["at"] for r in got}) == 500
+
+
+def test_sums_of_many_records_are_made_together(monkeypatch):
+    calls, plain = [], log.crc32c_values
+    monkeypatch.setattr(log, "crc32c_values", lambda values: calls.append(1) or plain(values))
+    rs = [b"x" * (i % 90) for i in range(2000)]
+    assert records(log.log_bytes((i, Batch().put(b"k", r)) for i, r in enumerate(rs))) == [log.encode_batch(Batch().put(b"k", r), i) for i, r in enumerate(rs)]
+    assert len(calls) < 40
