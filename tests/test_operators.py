@@ -203,3 +203,24 @@ def test_key_predicates_reach_the_files(spark):
     plan = plan_of(live(logs.pages(spark, "/root/testdata/sf0.001")).where(F.col("k") == "x"))
     assert "EqualTo(url,x)" in plan and "WindowGroupLimit" in plan
     assert "props" not in plan_of(live(logs.events(spark, "/root/testdata/sf0.001")).select("k"))
+
+
+def chain_of_files(spark, n, loose=()):
+    """Files of which each goes on with the last key of the one before, but for those in ``loose``."""
+    rows = [(i, f"k{i:04d}", 1 if i not in loose else 9, f"k{i + 1:04d}", 5) for i in range(n)]
+    return spark.createDataFrame(rows, "file_no long, smallest string, smallest_seq long, largest string, largest_seq long")
+
+
+def test_boundary_inputs_of_a_long_chain_take_one_round(spark, monkeypatch):
+    files, rounds, chained = chain_of_files(spark, 60, loose=(7, 50)), [], compact._chained
+    monkeypatch.setattr(compact, "_chained", lambda *args: rounds.append(1) or chained(*args))
+    got = compact.boundary_inputs(files, files.where("file_no IN (3, 20)"))
+    assert {r["file_no"] for r in got.collect()} == {*range(3, 7), *range(20, 50)}
+    assert got.columns == files.columns and len(rounds) == 1
+
+
+def test_boundary_inputs_where_files_overlap(spark):
+    rows = [(1, "a", 9, "m", 5), (2, "b", 9, "c", 5), (3, "c", 4, "n", 3), (4, "m", 4, "p", 2), (5, "n", 1, "q", 1), (6, "x", 1, "z", 1)]
+    files = spark.createDataFrame(rows, "file_no long, smallest string, smallest_seq long, largest string, largest_seq long")
+    got = lambda *chosen: {r["file_no"] for r in compact.boundary_inputs(files, files.where(F.col("file_no").isin(*chosen))).collect()}
+    assert got(1) == {1, 4} and got(2) == {2, 3, 5} and got(1, 2) == {1, 2, 3, 4, 5} and got(6) == {6}

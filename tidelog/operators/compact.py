@@ -71,19 +71,45 @@ def closure(files: DataFrame, begin, end) -> list[int]:
         end = high if end is None else max(end, high)
 
 
+def _chained(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Files dealt by their order with ``_taken``: whether a file with ``_mark`` stands at or before it in its chain.
+
+    A chain goes on where a file starts with the key that the one before it ends with.
+    """
+    within, ranges = Window.partitionBy("_part").orderBy(*order), Window.orderBy("_part")
+    end = F.struct("largest", "largest_seq")
+    ends = rows.groupBy("_part").agg(F.max_by(end, F.struct(*order)).alias("_end"))
+    rows = rows.join(F.broadcast(ends.select("_part", F.lag("_end").over(ranges).alias("_end"))), "_part")
+    rows = rows.withColumn("_before", F.coalesce(F.lag(end).over(within), "_end")).withColumn("_n", F.col("_part") * F.lit(1 << 40) + F.row_number().over(within))
+    goes_on = (F.col("smallest") == F.col("_before.largest")) & (F.col("smallest_seq") < F.col("_before.largest_seq"))
+    rows = rows.withColumn("_chain", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("_n"))).withColumn("_mark", F.when(F.col("_mark"), F.col("_n"))).drop("_before", "_end")
+    carried = rows.groupBy("_part").agg(*[F.max(c).alias(c) for c in ("_chain", "_mark")])
+    carried = carried.select("_part", *[F.max(c).over(ranges.rowsBetween(*ordered.BEFORE)).alias(f"_carry{c}") for c in ("_chain", "_mark")])
+    rows = rows.join(F.broadcast(carried), "_part")
+    chain, mark = (F.greatest(F.max(c).over(within.rowsBetween(*ordered.UPTO)), f"_carry{c}") for c in ("_chain", "_mark"))
+    return rows.withColumn("_taken", F.coalesce(mark >= chain, F.lit(False)))
+
+
 def boundary_inputs(files: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Files of the level that go on with a key at which a chosen file ends, to a fixed point.
+    """Files of the level that go on with a key at which a chosen one of them ends, to a fixed point.
 
     Files here have (smallest, largest, smallest_seq, largest_seq): the entry each starts
     and ends with. Without them, older versions of that key would stay above newer ones.
+
+    In a level whose files don't overlap, these are the rest of the chosen ones' chains.
+    Where files overlap, one may go on with another that isn't the one before it; rounds
+    follow until none does.
     """
+    order = ["smallest", "_down", "file_no"]
+    rows = ordered.dealt(files.withColumn("_down", -F.col("smallest_seq")), order)
+    marks = chosen.select("file_no").distinct()
     while True:
-        edge = chosen.select(F.col("largest").alias("edge"), F.col("largest_seq").alias("edge_seq"))
-        more = files.join(edge, (F.col("smallest") == F.col("edge")) & (F.col("smallest_seq") < F.col("edge_seq")), "left_semi")
-        grown = chosen.unionByName(more).dropDuplicates(["file_no"])
-        if grown.count() == chosen.count():
-            return grown
-        chosen = grown
+        got = _chained(rows.join(marks.withColumn("_mark", F.lit(True)), "file_no", "left"), order).select(*files.columns, "_taken").persist()
+        edges = got.where("_taken").groupBy(F.col("largest").alias("edge")).agg(F.max("largest_seq").alias("edge_seq"))
+        more = got.where("NOT _taken").join(edges, (F.col("smallest") == F.col("edge")) & (F.col("smallest_seq") < F.col("edge_seq")), "left_semi")
+        if more.isEmpty():
+            return got.where("_taken").drop("_taken")
+        marks = got.where("_taken").select("file_no").union(more.select("file_no"))
 
 
 def flush_level(files: DataFrame, runs: DataFrame) -> DataFrame:
@@ -106,7 +132,12 @@ def candidate(files: DataFrame, pointers: DataFrame) -> DataFrame:
     Pointers: (level, pointer), the largest key compacted last; levels without one start at their first file.
     """
     due = scores(files).where((F.col("score") >= 1) & (F.col("level") < LEVELS - 1)).orderBy(F.desc("score"), "level").limit(1).select("level")
-    rows = files.join(due, "level").join(pointers, "level", "left")
+    return next_file(files.join(due, "level"), pointers)
+
+
+def next_file(files: DataFrame, pointers: DataFrame) -> DataFrame:
+    """Of one level's files the first behind its pointer, else the first, whether the level is due or not."""
+    rows = files.join(pointers, "level", "left")
     behind = F.when(F.col("pointer").isNull() | (F.col("largest") > F.col("pointer")), 0).otherwise(1)
     return rows.withColumn("_behind", behind).orderBy("_behind", "smallest", "file_no").limit(1).drop("_behind", "pointer")
 
