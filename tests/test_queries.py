@@ -74,3 +74,15 @@ def test_candidate_is_of_the_level_most_due(spark):
     pointers = spark.createDataFrame([(1, "k100")], "level long, pointer string")
     pick = lambda f: tuple(f.select("level", "file_no").first())
     assert pick(compact.candidate(files, pointers)) == (1, 101) and pick(compact.next_file(files.where("level = 0"), pointers)) == (0, 0)
+
+
+def test_scan_prefix_of_a_key_with_several_versions(spark, tmp_path):
+    d, con = written(tmp_path, pages="SELECT i AS page_id, 'http://t' || i % 3 AS url, repeat('h', i::INT) AS html FROM range(7) t(i)")
+    assert assert_equal(spark, "scan_prefix", d, con).count() == 7
+
+
+def test_a_scan_by_prefix_has_live_entries_only(spark):
+    from tidelog.operators import reads
+
+    log = spark.createDataFrame([("ta", 1, 1, "x"), ("ta", 2, 1, "y"), ("tb", 3, 1, "z"), ("tb", 4, 0, None), ("u", 5, 1, "w")], "k string, seq long, op long, v string")
+    assert [tuple(r) for r in reads.scan(log, prefix="t").select("k", "v").collect()] == [("ta", "y")]

@@ -38,8 +38,8 @@ def misses(log: DataFrame, requests: DataFrame, snapshot: int | None = None) ->
     return requests.join(live_keys(asked, snapshot), "k", "left_anti")
 
 
-def scan(log: DataFrame, low=None, high=None, prefix: str | None = None, after=None, snapshot: int | None = None) -> DataFrame:
-    """Live entries with low <= k < high, the prefix, and k > after; order is the caller's."""
+def entries(log: DataFrame, low=None, high=None, prefix: str | None = None, after=None) -> DataFrame:
+    """All entries with low <= k < high, the prefix, and k > after: versions and tombstones."""
     for condition in (
         None if low is None else F.col("k") >= F.lit(low),
         None if high is None else F.col("k") < F.lit(high),
@@ -48,7 +48,12 @@ def scan(log: DataFrame, low=None, high=None, prefix: str | None = None, after=N
         None if prefix is None else F.col("k") >= F.lit(prefix),  # prunes by file statistics
     ):
         log = log if condition is None else log.where(condition)
-    return live(log, snapshot)
+    return log
+
+
+def scan(log: DataFrame, low=None, high=None, prefix: str | None = None, after=None, snapshot: int | None = None) -> DataFrame:
+    """The live ones of these entries; order is the caller's."""
+    return live(entries(log, low, high, prefix, after), snapshot)
 
 
 def prefix_end(prefix: bytes) -> bytes | None:
