@@ -195,7 +195,8 @@ class KVTable:
     def _write_runs(self, rows: DataFrame, level: int, read: int, most: int, least: int = 1) -> list[dict]:
         """Sorted runs of rows in ranges of keys, of about ``most`` bytes and at least about ``least`` of them; no key is in two.
 
-        They are cut by the bytes of the rows that are left, not of the ``read`` ones they are made of.
+        They are cut by the bytes of the rows that are left. The ``read`` bytes they are made
+        of count only for as many outputs as there are tasks to merge them.
         """
         if read <= most and least <= 1:
             run = self._write_run(rows, level, read)
@@ -206,9 +207,9 @@ class KVTable:
         kept = ordered.dealt(rows.withColumn("_size", stats.encoded_size(F.col("k"), F.col("v"))), ["k"])
         try:
             size = kept.agg(F.sum("_size")).first()[0] or 0
-            outputs = max(1, -(-size // most), least)
-            tasks = min(outputs, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            parts = ordered.cut(kept, "k", "_size", max(1, -(-size // outputs)), "out").drop("_size").repartition(tasks, "out")
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            outputs = max(1, -(-size // most), least, min(-(-read // most), tasks))
+            parts = ordered.cut(kept, "k", "_size", max(1, -(-size // outputs)), "out").drop("_size").repartition(min(outputs, tasks), "out")
             self._writer(parts.sortWithinPartitions("out", "k", F.desc("seq"), F.desc("op"))).partitionBy("out").parquet(path)
         finally:
             kept.unpersist()
